@@ -67,7 +67,7 @@ def surface_points(tris: DataFrame, offset: V3 | None = None) -> DataFrame:
     )
 
 
-def face_class(nz: Column, tol: float = 0.1) -> Column:
+def face_class(nz: Column, tol: float = 0.01) -> Column:
     return F.when(nz < -(1.0 - tol), "bottom").when(nz > 1.0 - tol, "top").otherwise("wall")
 
 

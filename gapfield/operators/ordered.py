@@ -37,7 +37,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | None = None,
     *,
     prev: Mapping[str, Column] | None = None,
     last: Mapping[str, Column] | None = None,
@@ -53,14 +53,16 @@ def running(
     * ``sums``: running sum including the row,
     * ``mins``: running minimum including the row.
 
-    ``order`` must be unique within a key; ``bucket`` must be non-decreasing along it.
+    ``order`` must be unique within a key and keys must not be NULL; ``bucket`` must be
+    non-decreasing along the order. It is kept as column ``_bucket``: a following call may omit
+    it and then reuses the partitioning instead of shuffling again.
     """
     prev, last, following = prev or {}, last or {}, following or {}
     sums, mins = sums or {}, mins or {}
     keys, order = list(keys), list(order)
     ord_key = F.struct(*order) if len(order) > 1 else F.col(order[0])
 
-    base = df.withColumn(BUCKET, bucket)
+    base = df if bucket is None else df.withColumn(BUCKET, F.coalesce(bucket.cast("bigint"), F.lit(0)))
     inputs = {}
     for kind, spec in (("p", prev), ("l", last), ("f", following), ("s", sums), ("m", mins)):
         for name, expr in spec.items():
@@ -95,8 +97,7 @@ def running(
         carry[f"_c_s_{n}"] = F.sum(f"_a_s_{n}").over(before)
     for n in mins:
         carry[f"_c_m_{n}"] = F.min(f"_a_m_{n}").over(before)
-    carried = summary.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BUCKET).alias("_kb"),
-                             *[c.alias(n) for n, c in carry.items()])
+    carried = summary.select(*keys, BUCKET, *[c.alias(n) for n, c in carry.items()])
 
     iw = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     upto = iw.rowsBetween(Window.unboundedPreceding, 0)
@@ -114,11 +115,7 @@ def running(
         inner[f"_i_m_{n}"] = F.min(f"_m_{n}").over(upto)
     rows = base.withColumns(inner)
 
-    on = [rows[k].eqNullSafe(carried[f"_k_{k}"]) for k in keys] + [rows[BUCKET] == carried["_kb"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    j = rows.join(carried, cond, "left")
+    j = rows.join(carried, [*keys, BUCKET], "left")
 
     out = {}
     for n in prev:
@@ -132,5 +129,5 @@ def running(
         out[n] = F.when(i.isNull(), c).when(c.isNull(), i).otherwise(i + c)
     for n in mins:
         out[n] = F.least(F.col(f"_i_m_{n}"), F.col(f"_c_m_{n}"))
-    keep = [F.col(c) for c in df.columns if c not in out]
+    keep = [F.col(c) for c in dict.fromkeys([*df.columns, BUCKET]) if c not in out]
     return j.select(*keep, *[c.alias(n) for n, c in out.items()])

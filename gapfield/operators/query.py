@@ -364,7 +364,7 @@ def layout_error(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def surface_accuracy(results: DataFrame, qpoints: DataFrame, tol: float = 0.1) -> DataFrame:
+def surface_accuracy(results: DataFrame, qpoints: DataFrame, tol: float = 0.01) -> DataFrame:
     """Accuracy of a field on its own surface, per field and face class with a field total.
 
     ``qpoints`` carry the triangle normal ``tnx tny tnz``; ``results`` come from a cell mode.
