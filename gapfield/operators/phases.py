@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import BUCKET, running
 
 INACTIVE, IMPACTING, ACTIVE, STABLE, LEAVING = "INACTIVE", "IMPACTING", "ACTIVE", "STABLE", "LEAVING"
@@ -61,29 +62,26 @@ def phases(
     """
     keys = list(keys)
     own = measures.columns
-    d = measures.withColumn("_sep", separated(p))
+    sep = separated(p)
     d = running(
-        d, keys, ["t"], bucket,
-        sums={"_rn": F.lit(1)},
+        measures.withColumn("_sep", sep), keys, ["t"], bucket,
         prev={"_pen0": F.col("penetration")},
-        last={"_touch": F.when(F.col("gap") <= 0, F.col("t"))},
+        since={"_run": (F.col("_sep"), ~F.col("_sep"))},
     )
-    d = running(d, keys, ["t"], last={"_held": F.when(~F.col("_sep"), F.col("_rn"))})
-    d = d.withColumn("_run", F.col("_rn") - F.coalesce("_held", F.lit(0)))
-    d = running(d, keys, ["t"], last={"_gone": F.when(F.col("_run") >= p.release_steps, F.col("t"))})
-    on = F.col("_touch").isNotNull() & (F.col("_gone").isNull() | (F.col("_touch") > F.col("_gone")))
-    d = running(d.withColumn("_on", on), keys, ["t"], prev={"_on0": F.col("_on")})
-    was_on = F.coalesce("_on0", F.lit(False))
-    d = d.withColumn("_enter", F.col("_on") & ~was_on)
-    d = running(d, keys, ["t"], prev={"_enter0": F.col("_enter")})
+    # the last event decides: a touch starts contact, a completed release ends it
+    event = F.when(F.col("gap") <= 0, F.lit(True)).when(F.col("_run") >= p.release_steps, F.lit(False))
+    d = running(d.withColumn("_ev", event), keys, ["t"], last={"_on": F.col("_ev")}, before={"_on0": F.col("_ev")})
+    on, was_on = F.coalesce("_on", F.lit(False)), F.coalesce("_on0", F.lit(False))
+    d = d.withColumns({"_on": on, "_enter": on & ~was_on, "_ended": was_on & ~on})
+    # every call reads its input twice; a reliable checkpoint keeps that from compounding
+    d = cut_lineage(d.drop("_ev", "_on0"))
+    d = running(d, keys, ["t"], F.col(BUCKET), prev={"_enter0": F.col("_enter")})
     checked = F.col("_on") & ~F.col("_enter") & ~F.col("_sep") & ~F.coalesce("_enter0", F.lit(False))
     good = steady(p, F.coalesce("_pen0", F.lit(0.0)))
-    d = d.withColumns({"_chk": checked, "_good": checked & good})
-    ended = (F.col("_run") >= p.release_steps) & ~F.col("_on")
-    d = d.withColumn("_restart", (F.col("_chk") & ~F.col("_good")) | ended)
-    d = running(d, keys, ["t"], sums={"_sum": F.when(F.col("_good"), 1).otherwise(0)})
-    d = running(d, keys, ["t"], last={"_sum0": F.when(F.col("_restart"), F.col("_sum"))})
-    d = d.withColumn("stable_count", (F.col("_sum") - F.coalesce("_sum0", F.lit(0))).cast("int"))
+    d = d.withColumns({"_chk": checked, "_good": F.coalesce(checked & good, F.lit(False))})
+    restart = (F.col("_chk") & ~F.col("_good")) | F.col("_ended")
+    d = running(d, keys, ["t"], since={"stable_count": (F.col("_good"), restart)})
+    d = d.withColumn("stable_count", F.col("stable_count").cast("int"))
     phase = (
         F.when(~F.col("_on"), INACTIVE)
         .when(F.col("_enter"), IMPACTING)
@@ -101,10 +99,8 @@ def settling_time(
     """First time at which ``cond`` has held for more than ``n`` rows in a row; NULL if never."""
     keys = list(keys)
     d = q.withColumn("_ok", F.coalesce(cond, F.lit(False)))
-    d = running(d, keys, [time], bucket, sums={"_rn": F.lit(1)})
-    d = running(d, keys, [time], last={"_bad": F.when(~F.col("_ok"), F.col("_rn"))})
-    held = F.col("_rn") - F.coalesce("_bad", F.lit(0))
-    return d.groupBy(*keys).agg(F.min(F.when(held > n, F.col(time))).alias("settled_at"))
+    d = running(d, keys, [time], bucket, since={"_held": (F.col("_ok"), ~F.col("_ok"))})
+    return d.groupBy(*keys).agg(F.min(F.when(F.col("_held") > n, F.col(time))).alias("settled_at"))
 
 
 __all__ = ["BUCKET", "PhaseParams", "phases", "separated", "settling_time", "steady"]
