@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import numbers, truth, unquote
 from ..functions.vec import AXES
 from ..operators.ordered import running
+from ..session import cut_lineage
 from .lines import ORDER, read_lines
 
 # Entity kinds of the format. TYPED kinds get a table, SETTINGS kinds a key/value table.
@@ -69,7 +70,7 @@ def parse_entities(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         mins={"_p": F.when(F.col("_patch") & opened, F.struct("block", "pos", F.col("_ent").alias("ent")))},
     )
     p = F.col("_p")
-    in_patch = F.coalesce(F.struct(p["block"].alias("block"), p["pos"].alias("pos")) < at, F.lit(False))
+    in_patch = p.isNotNull() & (F.struct(p["block"].alias("block"), p["pos"].alias("pos")) < at)
     live = F.when(in_patch, F.col("_s") != "").otherwise(opened) & ~F.col("_cmt")
     d = d.withColumns({"_in": in_patch, "_e": F.when(in_patch, p["ent"]).otherwise(F.col("_ent"))}).filter(live)
     rows = d.select(
@@ -77,6 +78,8 @@ def parse_entities(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("_e.id").alias("ent_id"), F.col("line_no"), "line", "_s",
         (F.col("_start") & ~F.col("_in")).alias("_head"),
     )
+    # every typed table reads these rows: stage them once instead of parsing the text again
+    rows = cut_lineage(rows)
     ent_key = ["file", "eb", "ep", "kind", "ent_id"]
     body = F.trim(F.regexp_replace("_s", r"^,", ""))
     pair = rows.filter(F.col("_s").contains("=")).select(
@@ -93,7 +96,8 @@ def parse_entities(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     ents = running(ents, ["file"], ["line_start"], F.col("eb"), sums={"ent_no": F.lit(1).cast("bigint")})
     ents = ents.select("file", "ent_no", "kind", "ent_id", "line_start", "attrs", "first_line", "eb", "ep")
     tagged = rows.join(heads.select("file", "eb", "ep", "line_start"), ["file", "eb", "ep"])
-    return ents.drop("eb", "ep"), tagged.select("file", "line_start", "kind", "ent_id", "line_no", "line")
+    lines_out = tagged.select("file", "line_start", "kind", "ent_id", "line_no", "line")
+    return cut_lineage(ents.drop("eb", "ep")), lines_out
 
 
 def _attr(key: str) -> Column:
