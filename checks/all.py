@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import fields, geometry  # noqa: F401
+from . import contacts, fields, geometry, signals  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

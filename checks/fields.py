@@ -285,7 +285,7 @@ _blk = f"""bc AS (SELECT mesh_id, bi + 2*(bj + 2*bk) AS pid, bi, bj, bk, h, bmin
  FROM g, range(2) a(bi), range(2) bb(bj), range(2) c(bk))"""
 
 
-@query("build_sparse", S.with_(*FIELD, _blk, S.signed("bc", "sb"), "act AS (SELECT bc.* FROM bc JOIN sb ON bc.mesh_id = sb.mesh_id AND bc.pid = sb.pid WHERE dist <= 2e-2 + 5e-1*sqrt(3e0)*4*h)", "av AS (SELECT v.* FROM vx v JOIN act a ON v.mesh_id = a.mesh_id AND v.i//4 = a.bi AND v.j//4 = a.bj AND v.k//4 = a.bk)", S.signed("av", "sd")) + f"SELECT v.mesh_id AS field_id, v.i, v.j, v.k, {S.r6('phi', 'phi', 5)}, {S.r6('nx', 'nx', 5)} FROM av v JOIN sd ON v.mesh_id = sd.mesh_id AND v.pid = sd.pid")
+@query("build_sparse", S.with_(*FIELD, _blk, S.signed("bc", "sb"), "act AS (SELECT bc.* FROM bc JOIN sb ON bc.mesh_id = sb.mesh_id AND bc.pid = sb.pid WHERE dist <= 2e-2 + 5e-1*sqrt(3e0)*4*h)", "av AS (SELECT v.* FROM vx v JOIN act a ON v.mesh_id = a.mesh_id AND v.i//4 = a.bi AND v.j//4 = a.bj AND v.k//4 = a.bk)", S.signed("av", "sd")) + f"SELECT v.mesh_id AS field_id, v.i, v.j, v.k, {S.r6('CAST(CAST(phi AS FLOAT) AS DOUBLE)', 'phi', 5)}, {S.r6('CAST(CAST(nx AS FLOAT) AS DOUBLE)', 'nx', 5)} FROM av v JOIN sd ON v.mesh_id = sd.mesh_id AND v.pid = sd.pid")
 def build_sparse(spark, sf):
     """Narrow-band fields: block centres first, then only the voxels of blocks near the surface."""
     v = build.build_sparse(T.tris(spark, sf), _specs(spark, sf, "sparse"), build.replace(P, store_hessian=False))

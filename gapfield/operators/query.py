@@ -277,7 +277,8 @@ def _candidate_mode(points, fields, voxels, candidates) -> DataFrame:
         listed.alias("candidates"),
     )
     # a set schema keeps the two branches union-compatible
-    plain = _cell_mode(points, hasnt, voxels, None, cubic=True).select(
+    rest = points.join(hasnt.select("field_id"), "field_id", "left_semi")
+    plain = _cell_mode(rest, hasnt, voxels, None, cubic=True).select(
         *base, "valid", *RESULT, F.lit(None).cast(rich.schema["candidates"].dataType).alias("candidates")
     )
     return rich.unionByName(plain)
