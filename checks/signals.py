@@ -88,7 +88,7 @@ def time_profile(spark, sf):
     return rounded(rounded(signals.time_profile(e), ["mean", "share"]), ["total"], 3)
 
 
-@query("history_signals", "SELECT CAST(o_custkey AS BIGINT) AS run_id, component, entity, count(*) AS n, round(sum(value), 2) + 0.0 AS total FROM (SELECT o_custkey, 'price' AS component, '' AS entity, o_totalprice AS value FROM orders UNION ALL SELECT o_custkey, 'pos', 'x', o_totalprice*2e0 FROM orders UNION ALL SELECT o_custkey, 'pos', 'y', o_orderkey*1e0 FROM orders UNION ALL SELECT o_custkey, 'load', o_orderstatus, o_totalprice*5e-1 FROM orders) GROUP BY ALL")
+@query("history_signals", "SELECT CAST(o_custkey AS BIGINT) AS run_id, component, entity, count(*) AS n, round(sum(value), 3) + 0.0 AS total FROM (SELECT o_custkey, 'price' AS component, '' AS entity, o_totalprice AS value FROM orders UNION ALL SELECT o_custkey, 'pos', 'x', o_totalprice*2e0 FROM orders UNION ALL SELECT o_custkey, 'pos', 'y', o_orderkey*1e0 FROM orders UNION ALL SELECT o_custkey, 'load', o_orderstatus, o_totalprice*5e-1 FROM orders) GROUP BY ALL")
 def history_signals(spark, sf):
     """Wide history rows with a struct and a map column to long signal rows."""
     h = T.load(spark, sf, "orders").select(
@@ -97,4 +97,4 @@ def history_signals(spark, sf):
         F.create_map("o_orderstatus", F.col("o_totalprice") * 0.5).alias("load"),
     )
     d = signals.history_signals(h).groupBy("run_id", "component", "entity").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return rounded(d, ["total"], 2)
+    return rounded(d, ["total"], 3)

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import grid
 from ..functions.vec import AXES, V3, ratio, unit
 
-KEY = ["field_id", "i", "j", "k"]
+# index columns on the point side carry an underscore, so that a caller's own i, j, k survive
+PIJK = ("_i", "_j", "_k")
+KEY = ["field_id", *PIJK]
 CORNERS = [(a, b, c) for c in (0, 1) for b in (0, 1) for a in (0, 1)]
 MAX_CANDIDATES = 8
 SPEC = ["field_id", "bminx", "bminy", "bminz", "voxx", "voxy", "voxz", "dimx", "dimy", "dimz"]
@@ -40,18 +42,19 @@ def _base(points: DataFrame) -> list[str]:
 
 
 def at_nearest(points: DataFrame, fields: DataFrame) -> DataFrame:
-    """Points with the index ``i j k`` of the voxel they fall in and ``_in`` (inside the grid)."""
+    """Points with the index ``_i _j _k`` of the voxel they fall in and ``_in`` (inside the grid)."""
     d = points.join(fields.select(*SPEC), "field_id")
     idx = grid.nearest_index(V3.of())
-    d = d.withColumns({n: F.coalesce(c, F.lit(-1)) for n, c in zip(grid.IJK, idx)})
-    d = d.withColumn("_in", grid.in_bounds([F.col(n) for n in grid.IJK]))
-    return d.withColumns(grid.center().named("_m"))
+    d = d.withColumns({n: F.coalesce(c, F.lit(-1)) for n, c in zip(PIJK, idx)})
+    at = [F.col(n) for n in PIJK]
+    d = d.withColumn("_in", grid.in_bounds(at))
+    return d.withColumns(grid.center(*at).named("_m"))
 
 
 def nearest_voxel(points: DataFrame, fields: DataFrame, voxels: DataFrame, cols: list[str]) -> DataFrame:
     """Left join to the voxel of each point: a point outside, or on a voxel not stored, gets NULLs."""
     v = voxels.select(
-        "field_id", *[F.col(n).cast("bigint").alias(n) for n in grid.IJK],
+        "field_id", *[F.col(n).cast("bigint").alias(f"_{n}") for n in grid.IJK],
         *[F.col(c).cast("double").alias(f"v_{c}") for c in cols],
     )
     return at_nearest(points, fields).join(v, KEY, "left")
@@ -85,12 +88,12 @@ def _taylor(points, fields, voxels, second: bool) -> DataFrame:
 
 
 def at_cell(points: DataFrame, fields: DataFrame) -> DataFrame:
-    """Points with the lower corner ``i j k`` of their cell, fractions ``tx ty tz`` and ``_in``."""
+    """Points with the lower corner ``_i _j _k`` of their cell, fractions ``_tx _ty _tz`` and ``_in``."""
     d = points.join(fields.select(*SPEC), "field_id")
     d = d.withColumns(grid.coordinate(V3.of()).named("_u"))
-    d = d.withColumns({n: F.coalesce(c, F.lit(-1)) for n, c in zip(grid.IJK, grid.cell(V3.of("_u")))})
-    d = d.withColumn("_in", grid.in_bounds([F.col(n) for n in grid.IJK], margin=1))
-    return d.withColumns({f"t{a}": F.col(f"_u{a}") - F.col(n) for a, n in zip(AXES, grid.IJK)}).drop(
+    d = d.withColumns({n: F.coalesce(c, F.lit(-1)) for n, c in zip(PIJK, grid.cell(V3.of("_u")))})
+    d = d.withColumn("_in", grid.in_bounds([F.col(n) for n in PIJK], margin=1))
+    return d.withColumns({f"_t{a}": F.col(f"_u{a}") - F.col(n) for a, n in zip(AXES, PIJK)}).drop(
         "_ux", "_uy", "_uz"
     )
 
@@ -112,7 +115,7 @@ def _hermite_basis(t: Column, h: Column, upper: Column):
 def _axis_columns(cubic: bool, corner, tag: str = "") -> dict[str, Column]:
     out = {}
     for a, up in zip(AXES, corner):
-        t, h = F.col(f"t{a}"), F.col(f"vox{a}")
+        t, h = F.col(f"_t{a}"), F.col(f"vox{a}")
         if cubic:
             v, s, dv, ds = _hermite_basis(t, h, up)
             out |= {f"_v{a}{tag}": v, f"_s{a}{tag}": s, f"_dv{a}{tag}": dv, f"_ds{a}{tag}": ds}
@@ -158,16 +161,16 @@ def _corner_terms(cubic: bool, tags, phi: Column, n: V3 | None) -> list[Column]:
 
 
 def cell_corners(points: DataFrame, fields: DataFrame) -> DataFrame:
-    """Points expanded to the eight corners of their cell: ``i j k`` become the corner's index."""
+    """Points expanded to the eight corners of their cell: ``_i _j _k`` become the corner's index."""
     d = at_cell(points, fields).filter("_in").drop("_in")
     offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in CORNERS])
     d = d.withColumn("_o", F.explode(offs)).select(*d.columns, "_o.*")
-    return d.withColumns({n: F.col(n) + F.col(o) for n, o in zip(grid.IJK, "abc")})
+    return d.withColumns({n: F.col(n) + F.col(o) for n, o in zip(PIJK, "abc")})
 
 
 def _by_corners(points, fields, voxels, cubic: bool) -> DataFrame:
     v = voxels.select(
-        "field_id", *[F.col(n).cast("bigint").alias(n) for n in grid.IJK],
+        "field_id", *[F.col(n).cast("bigint").alias(f"_{n}") for n in grid.IJK],
         F.col("phi").cast("double").alias("phi"),
         *([F.col(f"n{a}").cast("double").alias(f"n{a}") for a in AXES] if cubic else []),
     )
@@ -209,11 +212,12 @@ def cell_table(voxels: DataFrame, cubic: bool = True) -> DataFrame:
         for n, corner in enumerate(CORNERS)
         for c in cols
     ]
-    return v.groupBy(*KEY).agg(F.count("phi").alias("_cnt"), *aggs).filter(F.col("_cnt") == 8).drop("_cnt")
+    return v.groupBy("field_id", *grid.IJK).agg(F.count("phi").alias("_cnt"), *aggs).filter(F.col("_cnt") == 8).drop("_cnt")
 
 
 def _by_cells(points, fields, cells, cubic: bool) -> DataFrame:
-    d = at_cell(points, fields).join(cells, KEY, "left")
+    side = cells.withColumnsRenamed({n: f"_{n}" for n in grid.IJK})
+    d = at_cell(points, fields).join(side, KEY, "left")
     basis = {}
     for up in (0, 1):
         basis |= _axis_columns(cubic, [F.lit(up == 1)] * 3, tag=str(up))
@@ -241,7 +245,7 @@ def _cell_mode(points, fields, voxels, cells, cubic: bool) -> DataFrame:
 def _candidate_pick(points: DataFrame, fields: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per point: the candidate with the smallest absolute gap, and the list of all (at most 8)."""
     c = candidates.filter(F.col("rank") < MAX_CANDIDATES).select(
-        "field_id", *[F.col(n).cast("bigint").alias(n) for n in grid.IJK], "rank", "branch_id",
+        "field_id", *[F.col(n).cast("bigint").alias(f"_{n}") for n in grid.IJK], "rank", "branch_id",
         *[F.col(x).cast("double").alias(f"c_{x}") for x in ("phi", "nx", "ny", "nz")],
     )
     d = at_nearest(points.select("field_id", "qid", *AXES), fields).filter("_in").join(c, KEY)
