@@ -11,7 +11,10 @@ from gapfield.functions import pose
 from gapfield.operators import contact, mesh
 from gapfield.operators import query as Q
 from gapfield.plans import evaluate
+from gapfield.operators.ordered import running
 from gapfield.plans.model_import import import_models
+from gapfield.sources import obj, signal_files, store
+from gapfield.sources.lines import read_lines
 from gapfield.sources.shapes import annular_sectors
 
 from . import contacts as C
@@ -157,3 +160,46 @@ def model_import(spark, sf):
     d = d.join(dr, ["file", "joint_id"]).join(m["gravity"].select("file", "gz"), "file")
     d = d.select(F.col("cp_id").alias("contact_id"), "body_a", "body_b", "k", "damping", "mu", F.round("activation", 9).alias("activation"), "frame_x", "drive", "rate", F.round("gz", 6).alias("gz"))
     return rounded(rounded(d, ["k", "damping"], 1), ["mu", "frame_x", "rate"])
+
+
+# ---- sinks read back -------------------------------------------------------------------------------
+
+
+@query("field_store", S.with_(S.SPHERES) + f"SELECT field_id, i, j, k, {S.r6s(['phi', 'nx', 'ny', 'nz'])} FROM vox WHERE bk = 1")
+def field_store(spark, sf):
+    """Fields written in block order and read back with a filter on the block."""
+    root = shared_folder(spark)
+    store.write_field(T.sphere_fields(spark, sf).withColumn("field_id", F.pmod("field_id", F.lit(16))), T.sphere_voxels(spark, sf, hess=False).withColumnRenamed("field_id", "sphere").withColumn("field_id", F.pmod("sphere", F.lit(16))), root, mode="overwrite")
+    _, v = store.read_field(spark, root)
+    d = v.filter("bk = 1").select(F.col("sphere").alias("field_id"), "i", "j", "k", "phi", "nx", "ny", "nz")
+    return rounded(d, ["phi", "nx", "ny", "nz"])
+
+
+@query("signal_files", S.with_(S.EV) + f"SELECT 'run' AS scenario, 'Event_' || event_type || '_value' AS signal, {S.r6('t', 'time', 4)}, {S.r6('value')} FROM ev")
+def signal_file_round_trip(spark, sf):
+    """One file set per event type, written in time order and read back."""
+    root = shared_folder(spark)
+    e = T.events(spark, sf)
+    q = e.select(F.lit("run").alias("scenario"), F.lit("Event").alias("category"), F.col("event_type").alias("entity"), F.lit("value").alias("component"), "t", "value")
+    signal_files.write_signals(q, root)
+    d = signal_files.read_written_signals(spark, root).select("scenario", "signal", "time", "value")
+    return rounded(rounded(d, ["value"]), ["time"], 4)
+
+
+@query("obj_files", S.with_(S.TRI) + "SELECT mesh_id, count(*) AS n, " + ", ".join(S.r6(f"sum({c})", n, 5) for c, n in (("ax", "sx"), ("ey", "sy"), ("cz", "sz"))) + " FROM tri GROUP BY mesh_id")
+def obj_files(spark, sf):
+    """Ten meshes written as OBJ text, one folder each, and read in bulk."""
+    root = shared_folder(spark)
+    v, f = T.vertices_faces(spark, sf)
+    # ids dense per mesh, as a file needs them
+    t = running(T.tris(spark, sf).select("mesh_id", "tri_id"), ["mesh_id"], ["tri_id"], F.floor(F.col("tri_id") / 100), sums={"n": F.lit(1).cast("bigint")}).select("mesh_id", "tri_id", (F.col("n") - 1).alias("n"))
+    v = v.withColumn("tri_id", F.floor(F.col("vid") / 3)).join(t, ["mesh_id", "tri_id"]).withColumn("vid", F.col("n") * 3 + F.col("vid") % 3)
+    f = f.join(t, ["mesh_id", "tri_id"]).select("mesh_id", F.col("n").alias("tri_id"), *[(F.col("n") * 3 + c).alias(f"v{c}") for c in range(3)])
+    obj.write_obj(v, f, root)
+    lines = read_lines(spark, root + "/*/*.txt")
+    # a folder is one mesh: its part files follow each other by name
+    lines = lines.withColumns({"part": F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint"), "file": F.regexp_extract("file", r"mesh_id=([^/]+)/", 1)})
+    lines = lines.withColumn("block", F.shiftleft("part", 40) + F.col("block"))
+    v2, f2 = obj.parse_obj(lines)
+    d = mesh.join_corners(f2, v2).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ax").alias("sx"), F.sum("by").alias("sy"), F.sum("cz").alias("sz"))
+    return rounded(d, ["sx", "sy", "sz"], 5)
