@@ -11,6 +11,7 @@ from gapfield.functions.vec import AXES, M3, V3
 from gapfield.operators import contact, mesh, model, phases
 from gapfield.operators.ordered import bucket_of
 from gapfield.plans import evaluate
+from gapfield.session import spread
 from gapfield.sources.shapes import annular_sectors
 
 from . import sql as S
@@ -124,7 +125,7 @@ def part_rings(spark, sf, n_rad=N_RAD, n_az=N_AZ):
         (F.col("p_size") * 0.0001 + 0.001).alias("depth"), ((F.col("p_size") % 5) * 0.1 + 0.1).alias("mu"),
         F.when(F.col("p_size") % 2 == 0, 1.0).otherwise(-1.0).alias("spin"), F.lit(1e6).alias("k"),
     )
-    return annular_sectors(p.repartition("part_id"), F.col("ri"), F.col("ro"), n_rad, n_az)
+    return annular_sectors(spread(p, "part_id"), F.col("ri"), F.col("ro"), n_rad, n_az)
 
 
 TORS = ["normal_force", "normal_exact", "torque", "torque_exact"]

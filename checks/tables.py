@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gapfield.functions.vec import AXES, V3
 from gapfield.operators import mesh
+from gapfield.session import spread
 
 # irrational multipliers that scatter a price into three coordinates
 GOLD, ROOT2, ROOT3 = 0.6180339887, 0.4142135623, 0.7320508075
@@ -76,7 +77,7 @@ def sphere_fields(spark, sf) -> DataFrame:
 
 def sphere_voxels(spark, sf, hess: bool = True) -> DataFrame:
     """All 512 voxels of every sphere field, from the closed form."""
-    d = sphere_fields(spark, sf)
+    d = spread(sphere_fields(spark, sf), "field_id")
     for i in "ijk":
         d = d.withColumn(i, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
     p = {f"_d{a}": (F.col(i) + 0.5) * 0.25 - 1.0 - F.col(f"c{a}") for a, i in zip(AXES, "ijk")}

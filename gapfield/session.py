@@ -36,3 +36,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         where = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Hash rows over all task slots before each of them grows into many.
+
+    The partition count is explicit, because adaptive execution would otherwise merge the few
+    small input rows back into one task and the growth would happen there.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)

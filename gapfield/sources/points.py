@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..functions.vec import AXES
+from ..session import spread
 
 
 def lattice_points(fields: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def lattice_points(fields: DataFrame) -> DataFrame:
 def _spread(df: DataFrame, n: int, name: str = "qid", step: int = 4096) -> DataFrame:
     """``n`` rows per input row, expanded in two steps so that no single array is large."""
     d = df.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n - 1) // step).cast("bigint"))))
-    d = d.repartition("field_id", "_c")
+    d = spread(d, "field_id", "_c")
     last = F.least(F.col("_c") * step + (step - 1), F.lit(n - 1).cast("bigint"))
     return d.withColumn(name, F.explode(F.sequence(F.col("_c") * step, last))).drop("_c")
 
