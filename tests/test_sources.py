@@ -5,40 +5,39 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import MODELS
+from brute import sphere_mesh
 from gapfield.functions.vec import AXES
 from gapfield.operators import mesh
 from gapfield.sources import field_files, manifest, model_text, obj, points, shapes, signal_files, store, surface
 
-COUNTS = {
-    "cube": (5400, 10092), "hollow_cylinder_coarse": (120, 144), "hollow_cylinder_dense": (880, 1440),
-    "hollow_cylinder_fine": (432, 648), "hollow_cylinder_medium": (280, 400), "hollow_cylinder_very_dense": (1920, 3360),
-    "rmd_gear_left": (1606, 3212), "rmd_gear_right": (1606, 3212), "rmd_ring": (3840, 7680),
-}
-
-
-def test_obj_counts_and_order(spark):
-    v, f = obj.read_obj(spark, f"{MODELS}/*.obj")
-    got_v = {r[0]: r[1] for r in v.groupBy("mesh_id").count().collect()}
-    got_f = {r[0]: r[1] for r in f.groupBy("mesh_id").count().collect()}
-    assert {k: (got_v[k], got_f[k]) for k in got_v} == COUNTS
-    lines = [ln.split() for ln in open(f"{MODELS}/rmd_ring.obj") if ln[:2] == "v "]
-    want = np.array([[float(x) for x in ln[1:4]] for ln in lines])
-    got = np.array([list(r) for r in v.filter("mesh_id = 'rmd_ring'").orderBy("vid").select(*AXES).collect()])
-    assert np.array_equal(want, got)
+def write_sphere(path, n_lat=30, n_lon=40):
+    v, f = sphere_mesh(n_lat, n_lon)
+    with open(path, "w") as out:
+        out.write("# a comment\no sphere\n")
+        out.writelines(f"v {x!r} {y!r} {z!r}\n" for x, y, z in v.tolist())
+        out.writelines(f"f {i + 1} {j + 1}/7 {k + 1}//3\n" for i, j, k in f.tolist())
+    return v, f
+
+
+def test_obj_counts_and_order(spark, scratch):
+    big, small = write_sphere(f"{scratch}/big.obj"), write_sphere(f"{scratch}/small.obj", 6, 8)
+    v, f = obj.read_obj(spark, f"{scratch}/*.obj")
+    for name, (wv, wf) in (("big", big), ("small", small)):
+        got = np.array([list(r) for r in v.filter(F.col("mesh_id") == name).orderBy("vid").select(*AXES).collect()])
+        tri = np.array([list(r) for r in f.filter(F.col("mesh_id") == name).orderBy("tri_id").select("v0", "v1", "v2").collect()])
+        assert np.array_equal(wv, got) and np.array_equal(wf, tri)
     assert mesh.dangling(f, v).count() == 0
 
 
-def test_obj_split_reading_keeps_ids(spark):
+def test_obj_split_reading_keeps_ids(spark, scratch):
     """A file cut into many input splits gets the same ids as one read whole."""
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    wv, wf = write_sphere(f"{scratch}/big.obj")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
     try:
-        v, f = obj.read_obj(spark, f"{MODELS}/rmd_ring.obj")
-        assert v.select("vid").distinct().count() == 3840 and f.agg(F.max("tri_id")).first()[0] == 7679
-        lines = [ln.split() for ln in open(f"{MODELS}/rmd_ring.obj") if ln[:2] == "f "]
-        want = [[int(x.split("/")[0]) - 1 for x in ln[1:4]] for ln in lines]
-        got = [list(r) for r in f.orderBy("tri_id").select("v0", "v1", "v2").collect()]
-        assert want == got
+        v, f = obj.read_obj(spark, f"{scratch}/big.obj")
+        assert v.select("vid").distinct().count() == len(wv)
+        tri = [list(r) for r in f.orderBy("tri_id").select("v0", "v1", "v2").collect()]
+        assert np.array_equal(wf, np.array(tri))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728")
 
@@ -58,25 +57,34 @@ def test_obj_round_trip(spark, scratch):
     assert v2.count() == v.count() and f2.count() == f.count()
 
 
-@pytest.mark.parametrize("name,preset", list(shapes.CYLINDER_PRESETS.items()))
-def test_cylinder_matches_files(spark, name, preset):
-    v, f = shapes.hollow_cylinder_mesh(spark, n_az=preset[0], n_rad=preset[1], n_vert=preset[2], mesh_id="m")
-    v0, f0 = obj.read_obj(spark, f"{MODELS}/hollow_cylinder_{name}.obj")
-    a = np.array([list(r) for r in v.orderBy("vid").select(*AXES).collect()])
-    b = np.array([list(r) for r in v0.orderBy("vid").select(*AXES).collect()])
-    assert a.shape == b.shape and np.abs(a - b).max() < 1e-5
-    tri = lambda d: [tuple(r) for r in d.orderBy("tri_id").select("v0", "v1", "v2").collect()]
-    assert tri(f) == tri(f0)
+CYLINDERS = {"coarse": (120, 144), "medium": (280, 400), "fine": (432, 648), "dense": (880, 1440), "very_dense": (1920, 3360)}
+
+
+@pytest.mark.parametrize("name", list(CYLINDERS))
+def test_cylinder(spark, name):
+    n_az, n_rad, n_vert = shapes.CYLINDER_PRESETS[name]
+    v, f = shapes.hollow_cylinder_mesh(spark, n_az=n_az, n_rad=n_rad, n_vert=n_vert, mesh_id="m")
+    assert (v.count(), f.count()) == CYLINDERS[name]
+    assert mesh.dangling(f, v).count() == 0
+    t = mesh.triangles(v, f)
+    chord, step = 2 * np.sin(np.pi / n_az), 2 * np.pi / n_az
+    walls, ends = n_az * chord * (0.4 + 0.6) * 0.5, n_az * np.sin(step) * (0.36 - 0.16)
+    assert t.agg(F.sum("area")).first()[0] == pytest.approx(walls + ends, rel=1e-9)
+    # the ends face away from each other
+    face = t.groupBy(mesh.face_class(F.col("nz")).alias("c"), "gz").agg(F.sum("area").alias("a")).filter("c != 'wall'").collect()
+    assert {(r.c, round(r.gz, 9)) for r in face} == {("bottom", 0.0), ("top", 0.5)}
+    assert all(r.a == pytest.approx(ends / 2, rel=1e-9) for r in face)
 
 
-def test_cube_matches_file(spark):
+def test_cube(spark):
     v, f = shapes.cube_mesh(spark)
-    v0, f0 = obj.read_obj(spark, f"{MODELS}/cube.obj")
-    a = np.array([list(r) for r in v.orderBy("vid").select(*AXES).collect()])
-    b = np.array([list(r) for r in v0.orderBy("vid").select(*AXES).collect()])
-    assert a.shape == b.shape and np.abs(a - b).max() < 1e-5
-    tri = lambda d: [tuple(r) for r in d.orderBy("tri_id").select("v0", "v1", "v2").collect()]
-    assert tri(f) == tri(f0)
+    assert (v.count(), f.count()) == (5400, 10092) and mesh.dangling(f, v).count() == 0
+    t = mesh.triangles(v, f)
+    assert t.agg(F.sum("area")).first()[0] == pytest.approx(6 * 16.0, rel=1e-9)
+    r = mesh.max_edge(t, 0.201).first()
+    assert r.within_limit and r.max_edge <= 0.2
+    b = mesh.bounds(v).first()
+    assert (b.lox, b.hix, b.loz, b.hiz) == (-2.0, 2.0, -4.0, 0.0)
 
 
 def test_point_sources(spark):
