@@ -24,17 +24,26 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; a scratch folder is used only where the
-    setting is absent, as in tests.
+    A scratch folder stands in for it where driver and executors are one process; on a cluster
+    a missing setting is an error, because other machines could not read such a folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

