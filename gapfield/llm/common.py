@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapfield.session import shared_folder
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,3 +40,15 @@ def drawn(df: DataFrame, id_col: str, group: str, most: int) -> DataFrame:
         if k is not None:
             share = F.when(F.col(group) == F.lit(k), F.lit(min(1.0, most / n))).otherwise(share)
     return df.where(spot(id_col) < share)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet to the shared folder and read again.
+
+    Later steps read the files, so a lost executor costs no recomputation of what led there, and
+    values drawn per task (ordinals, partition numbers) stay as they were written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
