@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, pack
+from . import bpe, langid, nbsvm, pack, toxic
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = nbsvm.train(docs, labels.where(~held_out("doc_id", 4, 2)))
+    scored = nbsvm.score(docs, model)
+    return scored.withColumns({"held_out": held_out("doc_id", 4, 2), "predicted": (F.col("score") >= 0.7).cast("int")})
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxic.train(docs, labels.where(~held_out("doc_id", 5, 0)))
+    scored = toxic.score(docs, model)
+    return scored.withColumns({"held_out": held_out("doc_id", 5, 0), "predicted": (F.col("score") >= 0.5).cast("int")})
