@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, nbsvm, pack, toxic
+from . import bpe, langid, nbsvm, pack, suffixtree, toxic
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxic.train(docs, labels.where(~held_out("doc_id", 5, 0)))
     scored = toxic.score(docs, model)
     return scored.withColumns({"held_out": held_out("doc_id", 5, 0), "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, word_counts = suffixtree.train(docs.where(~held_out("doc_id", 7, 2)))
+    return suffixtree.score(docs, model, word_counts).withColumn("held_out", held_out("doc_id", 7, 2))
