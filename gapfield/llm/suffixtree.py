@@ -33,7 +33,7 @@ from .blocks import lower_table, ranges, run_hashes, text_blocks, words
 from .common import staged
 
 DEPTH = 5
-MIN_SHARE = 1e-5
+MIN_SHARE = 1e-6
 MIN_DIVERGENCE = 0.002
 MIN_RATIO = 30.0
 HEAD = 200_000
@@ -190,15 +190,19 @@ def grow(levels: list[np.ndarray]) -> Tree:
             number[k][c] = len(order)
             order.append((k, c))
     pairs, values = [np.arange(256)], [dist[0, 0]]
+    level = 1
     back, parent = np.zeros(len(order)), np.zeros(len(order), np.int64)
     for state, (k, c) in enumerate(order[1:], 1):
+        if k > level:  # only the distributions one level up are looked at
+            dist, level = {x: v for x, v in dist.items() if x[0] == k - 1}, k
         part, above = rows[k, c], (k - 1, c & ((1 << (8 * (k - 1))) - 1))
         parent[state] = number[k - 1][above[1]]
         n, m = part[:, 2].sum(), len(part)
         back[state] = m / (n + m)
-        lower = dist[above]
-        dist[k, c] = own = back[state] * lower
+        own = back[state] * dist[above]
         own[part[:, 1]] += part[:, 2] / (n + m)
+        if k + 1 < len(levels):
+            dist[k, c] = own
         pairs.append(state * 256 + part[:, 1])
         values.append(own[part[:, 1]])
     contexts = [np.array(sorted(x), np.uint64) for x in number]
