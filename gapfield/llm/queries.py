@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, nbsvm, pack, suffixtree, toxic
+from . import bpe, langid, minhash, nbsvm, pack, suffixtree, toxic
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, word_counts = suffixtree.train(docs.where(~held_out("doc_id", 7, 2)))
     return suffixtree.score(docs, model, word_counts).withColumn("held_out", held_out("doc_id", 7, 2))
+
+
+@query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
