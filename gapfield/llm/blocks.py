@@ -87,7 +87,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _value_table(seed: int) -> np.ndarray:
+def value_table(seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix((np.arange(1, 257, dtype=np.uint64) + np.uint64(seed) * np.uint64(1000)) * _GOLD)
 
@@ -117,7 +117,7 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     pos = np.arange(int(lens.sum())) - np.repeat(at, lens)
     own = values[pos + np.repeat(starts, lens)]
     with np.errstate(over="ignore"):
-        v = _value_table(seed)[own] if own.dtype == np.uint8 else mix((own.astype(np.uint64) + np.uint64(seed * 1000 + 1)) * _GOLD)
+        v = value_table(seed)[own] if own.dtype == np.uint8 else mix((own.astype(np.uint64) + np.uint64(seed * 1000 + 1)) * _GOLD)
         v = v * powers(int(lens.max()))[pos]
         return mix(np.add.reduceat(v, at) + lens.astype(np.uint64) * _GOLD)
 
