@@ -154,9 +154,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Mode
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Fit on labelled rows: docs has doc_id and text, labels doc_id and the label column."""
+    # the draw has about 2 * per_class short rows, so it goes to the texts and not they to it
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y")).dropDuplicates(["doc_id"])
     total = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    sample = drawn(known, "doc_id", "y", per_class).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "y")
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn(known, "doc_id", "y", per_class)), "doc_id").select("doc_id", "text", "y")
 
     def run(batches):
         features = Features()
