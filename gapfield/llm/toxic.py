@@ -318,9 +318,10 @@ def fit(texts: list[bytes], y: np.ndarray, weights: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on labelled rows: docs has doc_id and text, labels doc_id and toxic."""
+    # the draw has about 2 * per_class short rows, so it goes to the texts and not they to it
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").alias("y")).dropDuplicates(["doc_id"])
     total = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    got = drawn(known, "doc_id", "y", per_class).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(drawn(known, "doc_id", "y", per_class)), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).collect()
     got.sort(key=lambda r: (r.doc_id, r.text))
     y = np.array([r.y for r in got], float)
     n = {c: max(1, int((y == c).sum())) for c in (0, 1)}
