@@ -121,9 +121,8 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
 
 def _cut_out(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """(pile, anchor, d1, d2, windows, bytes) of the wanted segments, from the row that each names."""
-    lists = staged(wanted.groupBy("k1", "k2", "who").agg(F.collect_list(F.struct("start", "pile", "anchor", "d1", "d2", "windows")).alias("cuts")))
-    per_list = wanted.count() * 48 / max(lists.count(), 1) + 64
-    got = texts.select("k1", "k2", "who", "text").join(_lighter(lists, math.ceil(per_list)), ["k1", "k2", "who"]).select("text", "cuts")
+    lists = wanted.groupBy("k1", "k2", "who").agg(F.collect_list(F.struct("start", "pile", "anchor", "d1", "d2", "windows")).alias("cuts"))
+    got = texts.select("k1", "k2", "who", "text").join(lists, ["k1", "k2", "who"]).select("text", "cuts")
 
     def run(batches):
         for b in batches:
@@ -245,7 +244,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         found = found.unionByName(_by_digests(bytes_of.where("pile < 0"), parts, window))
     runs = staged(found.unionByName(whole))
     occurrence = some.groupBy("k1", "k2", "start").agg(F.first("d1").alias("d1"), F.first("d2").alias("d2"))
-    spans = occurrence.join(_lighter(runs, 96), ["d1", "d2"]).select("k1", "k2", F.expr("transform(runs, r -> struct(start + r.a as a, start + r.b as b))").alias("runs"))
+    spans = occurrence.join(runs, ["d1", "d2"]).select("k1", "k2", F.expr("transform(runs, r -> struct(start + r.a as a, start + r.b as b))").alias("runs"))
     return staged(spans.groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("spans")))
 
 
@@ -267,11 +266,7 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
-    found = repeated_windows(docs, window)
-    size = found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)), F.count("k1")).first()
-    if size[0] * 16 + size[1] * 64 <= BROADCAST_BYTES:
-        found = F.broadcast(found)
-    return keyed(docs).join(found, KEY, "left")
+    return keyed(docs).join(repeated_windows(docs, window), KEY, "left")
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -296,22 +291,23 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows with repeated bytes taken out of ``text``; ``n_chars``, where there, follows.
 
-    A character that a removed range cuts through goes as a whole. All other columns stay.
+    A character that a removed range cuts through goes as a whole; a null text comes back empty. All
+    other columns stay.
     """
     names = docs.columns
-    wide = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    wide = _with_spans(wide, window).select("row", "text", "spans")
+    others = [n for n in names if n != "text"]
+    wide = _with_spans(docs.select(F.struct(*others).alias("row"), "doc_id", "text"), window).select("row", "text", "spans")
 
     def run(batches):
         for b in batches:
-            kept = [_kept(bytes(t.as_buffer()), _merged(r.as_py(), window)).decode("utf-8", "ignore") if r.is_valid else t.as_py() for t, r in zip(b.column(1), b.column(2), strict=True)]
-            row = b.column(0)
-            fields = {n: row.field(n) for n in names}
-            changed = b.column(2).is_valid()
-            fields["text"] = pa.array([k if c else o for k, c, o in zip(kept, changed.to_pylist(), fields["text"].to_pylist(), strict=True)], pa.string())
+            kept, changed = [], b.column(2).is_valid().to_pylist()
+            for text, runs, c in zip(b.column(1), b.column(2), changed, strict=True):
+                kept.append(_kept(bytes(text.as_buffer()), _merged(runs.as_py(), window)).decode("utf-8", "ignore") if c else text.as_py())
+            fields = dict(zip(others, b.column(0).flatten(), strict=True))
+            fields["text"] = pa.array(kept, pa.string())
             if "n_chars" in fields:
                 was = fields["n_chars"]
-                fields["n_chars"] = pa.array([len(k) if c else o for k, c, o in zip(kept, changed.to_pylist(), was.to_pylist(), strict=True)], was.type)
+                fields["n_chars"] = pa.array([len(k) if c else o for k, c, o in zip(kept, changed, was.to_pylist(), strict=True)], was.type)
             yield pa.RecordBatch.from_arrays([fields[n] for n in names], names)
 
     return wide.mapInArrow(run, docs.schema)
