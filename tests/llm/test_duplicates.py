@@ -162,6 +162,6 @@ def test_graph_recall():
     found = np.concatenate([np.stack([a, p], 1) for a, p in hnsw.within(g, v[:400], 0.9, width)])
     assert (exact[found[:, 0], found[:, 1]] >= 0.9 - 1e-6).all() and len(np.unique(found, axis=0)) == len(found)
     assert len(found) >= 0.99 * (exact >= 0.9).sum()
-    ids, _ = hnsw.nearest(g, v[:200], width)
+    ids, _ = hnsw.nearest(g, v[:200], 128)
     top = np.argsort(-exact[:200], 1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), top.tolist())]) >= 0.9
