@@ -78,11 +78,11 @@ def _terms(cubic):
 
 def _cell(cubic, out):
     return f"""{out}0 AS (SELECT c.*, phi, v.nx AS ux, v.ny AS uy, v.nz AS uz, {_hb if cubic else _lb} FROM corner c {VOXREF}),
-{out}1 AS (SELECT field_id, qid, {_terms(cubic)} FROM {out}0 GROUP BY field_id, qid HAVING count(*) = 8),
+{out}1 AS (SELECT field_id, qid, x, y, z, {_terms(cubic)} FROM {out}0 GROUP BY field_id, qid, x, y, z HAVING count(*) = 8),
 {out}2 AS (SELECT *, sqrt(gx*gx+gy*gy+gz*gz) AS gl FROM {out}1),
 {out}3 AS (SELECT p.field_id, p.qid, p.x, p.y, p.z, g.gap, gx, gy, gz, g.gap IS NOT NULL AS ok,
  {", ".join(f"CASE WHEN gl > 1e-15 THEN g{a}/gl ELSE {d} END AS n{a}" for a, d in zip(X, ("1e0", "0e0", "0e0")))}
- FROM spts p LEFT JOIN {out}2 g ON p.field_id = g.field_id AND p.qid = g.qid),
+ FROM spts p LEFT JOIN {out}2 g ON p.field_id = g.field_id AND p.qid = g.qid AND p.x = g.x AND p.y = g.y AND p.z = g.z),
 {out} AS (SELECT *, {WITNESS} FROM {out}3)"""
 
 
@@ -127,6 +127,28 @@ def cell_table_tricubic(spark, sf):
     return _run(spark, sf, "tricubic", cells=True, extra=("gx", "gy", "gz"))
 
 
+def _asked(spark, sf, mode, cells=False):
+    pts, f, v = T.repeated_points(spark, sf), T.sphere_fields(spark, sf), T.sphere_voxels(spark, sf)
+    r = Q.query(pts, f, v, mode, cells=Q.cell_table(v, mode == "tricubic") if cells else None)
+    return rounded(r.select("field_id", F.col("asked").alias("qid"), "valid", *VALS), VALS)
+
+
+@query("repeated_trilinear", S.with_(S.SPHERES, S.RPTS, S.LOC, CORNERS, _cell(False, "tl")) + _results("tl", "ok"))
+def repeated_trilinear(spark, sf):
+    """Every point is one of many under its id; each keeps its own answer."""
+    return _asked(spark, sf, "trilinear")
+
+
+@query("repeated_tricubic", S.with_(S.SPHERES, S.RPTS, S.LOC, CORNERS, _cell(True, "tc")) + _results("tc", "ok"))
+def repeated_tricubic(spark, sf):
+    return _asked(spark, sf, "tricubic")
+
+
+@query("repeated_tricubic_cells", S.with_(S.SPHERES, S.RPTS, S.LOC, CORNERS, _cell(True, "tc")) + _results("tc", "ok"))
+def repeated_tricubic_cells(spark, sf):
+    return _asked(spark, sf, "tricubic", cells=True)
+
+
 _cand = f"""cand AS (SELECT field_id, i, j, k, r, phi - r*5e-2 AS phi, nx + r*1e-1*ny AS nx, ny + r*1e-1*nz AS ny, nz + r*1e-1*nx AS nz
  FROM vox, range(3) g(r) WHERE stride > 0 AND (i+j+k) % 3 <> 0),
 cq0 AS (SELECT p.field_id, p.qid, x, y, z, r, phi, c.nx/sqrt(c.nx*c.nx+c.ny*c.ny+c.nz*c.nz) AS nx, c.ny/sqrt(c.nx*c.nx+c.ny*c.ny+c.nz*c.nz) AS ny,
@@ -136,11 +158,11 @@ cq1 AS (SELECT *, phi + nx*dx + ny*dy + nz*dz AS gap FROM cq0),
 cq2 AS (SELECT *, row_number() OVER (PARTITION BY field_id, qid ORDER BY abs(gap), r) AS rn, count(*) OVER (PARTITION BY field_id, qid) AS n FROM cq1),
 cq AS (SELECT field_id, qid, n, TRUE AS ok, gap, nx, ny, nz, {WITNESS} FROM cq2 WHERE rn = 1),
 al AS (SELECT field_id, qid, ok, gap, nx, ny, nz, wx, wy, wz, n FROM cq
- UNION ALL SELECT field_id, qid, ok, gap, nx, ny, nz, wx, wy, wz, CASE WHEN ok THEN 1 ELSE 0 END FROM fo WHERE field_id IN (SELECT field_id FROM fields WHERE stride > 0) AND (field_id, qid) NOT IN (SELECT field_id, qid FROM cq)
+ UNION ALL SELECT field_id, qid, ok, gap, nx, ny, nz, wx, wy, wz, CASE WHEN ok THEN 1 ELSE 0 END FROM fo o WHERE field_id NOT IN (SELECT field_id FROM fields WHERE stride = 0) AND NOT EXISTS (SELECT 1 FROM cq WHERE cq.field_id = o.field_id AND cq.qid = o.qid)
  UNION ALL SELECT field_id, qid, ok, gap, nx, ny, nz, wx, wy, wz, CASE WHEN ok THEN 1 ELSE 0 END FROM tc WHERE field_id IN (SELECT field_id FROM fields WHERE stride = 0))"""
 
 
-@query("query_candidates", S.with_(*BASE, TAYLOR, FIRST, CORNERS, _cell(True, "tc"), _cand) + _results("al", "ok", ", CAST(n AS INTEGER) AS n_candidates"))
+@query("query_candidates", S.materialized(S.with_(*BASE, TAYLOR, FIRST, CORNERS, _cell(True, "tc"), _cand), "vox", "loc", "fo", "tc", "cq") + _results("al", "ok", ", CAST(n AS INTEGER) AS n_candidates"))
 def query_candidates(spark, sf):
     """Several candidates per voxel, with both fallbacks."""
     r = Q.query(
@@ -285,7 +307,7 @@ _blk = f"""bc AS (SELECT mesh_id, bi + 2*(bj + 2*bk) AS pid, bi, bj, bk, h, bmin
  FROM g, range(2) a(bi), range(2) bb(bj), range(2) c(bk))"""
 
 
-@query("build_sparse", S.with_(*FIELD, _blk, S.signed("bc", "sb"), "act AS (SELECT bc.* FROM bc JOIN sb ON bc.mesh_id = sb.mesh_id AND bc.pid = sb.pid WHERE dist <= 2e-2 + 5e-1*sqrt(3e0)*4*h)", "av AS (SELECT v.* FROM vx v JOIN act a ON v.mesh_id = a.mesh_id AND v.i//4 = a.bi AND v.j//4 = a.bj AND v.k//4 = a.bk)", S.signed("av", "sd")) + f"SELECT v.mesh_id AS field_id, v.i, v.j, v.k, {S.r6('CAST(CAST(phi AS FLOAT) AS DOUBLE)', 'phi', 5)}, {S.r6('CAST(CAST(nx AS FLOAT) AS DOUBLE)', 'nx', 5)} FROM av v JOIN sd ON v.mesh_id = sd.mesh_id AND v.pid = sd.pid")
+@query("build_sparse", S.materialized(S.with_(*FIELD, _blk, S.signed("bc", "sb"), "act AS (SELECT bc.* FROM bc JOIN sb ON bc.mesh_id = sb.mesh_id AND bc.pid = sb.pid WHERE dist <= 2e-2 + 5e-1*sqrt(3e0)*4*h)", "av AS (SELECT v.* FROM vx v JOIN act a ON v.mesh_id = a.mesh_id AND v.i//4 = a.bi AND v.j//4 = a.bj AND v.k//4 = a.bk)", S.signed("av", "sd")), "trin", "vx", "sb", "act", "av", "sd") + f"SELECT v.mesh_id AS field_id, v.i, v.j, v.k, {S.r6('CAST(CAST(phi AS FLOAT) AS DOUBLE)', 'phi', 5)}, {S.r6('CAST(CAST(nx AS FLOAT) AS DOUBLE)', 'nx', 5)} FROM av v JOIN sd ON v.mesh_id = sd.mesh_id AND v.pid = sd.pid")
 def build_sparse(spark, sf):
     """Narrow-band fields: block centres first, then only the voxels of blocks near the surface."""
     v = build.build_sparse(T.tris(spark, sf), _specs(spark, sf, "sparse"), build.replace(P, store_hessian=False))
@@ -315,18 +337,16 @@ def lattice_points(spark, sf):
     return rounded(points.lattice_points(T.sphere_fields(spark, sf)), ["x", "y", "z"])
 
 
-@query("random_points")
+@query("random_points", S.with_(S.SPHERES) + "SELECT field_id, CAST(q AS BIGINT) AS qid, " + ", ".join(S.r6(f"25e-2*(5e-2 + 69e-1*{S.unit('field_id', 'q', n, 7)} + 5e-1) - 1e0", a) for n, a in enumerate(X)) + " FROM fields, range(200) r(q)")
 def random_points(spark, sf):
-    return points.random_points(T.sphere_fields(spark, sf), 200, 7)
+    return rounded(points.random_points(T.sphere_fields(spark, sf), 200, 7), ["x", "y", "z"])
 
 
-_bp = """ab AS (SELECT field_id, bi, bj, bk, row_number() OVER (PARTITION BY field_id ORDER BY bk, bj, bi) - 1 AS pos FROM act),
-nb AS (SELECT field_id, count(*) AS nb FROM act GROUP BY field_id),
-q0 AS (SELECT field_id, nb, CAST(q AS BIGINT) AS qid, (q*2654435761) % 64 AS l FROM nb, range(100) r(q)),
-q1 AS (SELECT q0.*, 4*bi + 1 + (l%4)%2 AS i, 4*bj + 1 + ((l//4)%4)%2 AS j, 4*bk + 1 + (l//16)%2 AS k FROM q0 JOIN ab ON q0.field_id = ab.field_id AND pos = qid % nb)"""
+_bp = """ab AS (SELECT field_id, bi, bj, bk, row_number() OVER (PARTITION BY field_id ORDER BY bk, bj, bi) - 1 AS pos, count(*) OVER (PARTITION BY field_id) AS m FROM act),
+bq AS (SELECT field_id, bi, bj, bk, CAST(q AS BIGINT) AS qid FROM ab, range(100) r(q) WHERE q % m = pos)"""
 
 
-@query("block_points", S.with_(S.SPHERES, _band, _bp) + "SELECT field_id, qid, " + ", ".join(S.r6(f"({i}+5e-1)*25e-2-1e0 + 25e-2*((qid*{m})%9-4e0)/4e1", a) for a, i, m in zip(X, "ijk", (13, 17, 19))) + " FROM q1")
+@query("block_points", S.with_(S.SPHERES, _band, _bp) + "SELECT field_id, qid, " + ", ".join(S.r6(f"25e-2*(4*{b} + 4*{S.unit('field_id', 'qid', n, 0)}) - 1e0", a) for n, (a, b) in enumerate(zip(X, ("bi", "bj", "bk")))) + " FROM bq")
 def block_points(spark, sf):
     v = T.narrow_band(T.sphere_voxels(spark, sf, hess=False))
     return rounded(points.block_points(v, T.sphere_fields(spark, sf), 100), ["x", "y", "z"])

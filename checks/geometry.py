@@ -127,12 +127,13 @@ def grid_index(spark, sf):
     return d.select("qid", *idx, grid.in_bounds(idx).alias("inside"), grid.lin(*idx).alias("lin"), grid.block_key(grid.block(idx, 8)).alias("block_key"))
 
 
-_pair = "pair AS (SELECT p.qid, p.x, p.y, p.z, t.* FROM pts p JOIN orders o ON p.qid = o.o_orderkey JOIN tri t ON t.tri_id = o.o_custkey % 500)"
+_pair = "pair AS (SELECT p.qid, p.x, p.y, p.z, t.* FROM pts p JOIN orders o ON p.qid = o.o_orderkey JOIN tri t ON t.tri_id = o.o_custkey % (SELECT count(*) FROM tri))"
 
 
 @query("closest_point", S.with_(S.PTS, S.TRI, _pair, S.closest("pair", ["qid", "tri_id"], "c")) + f"SELECT qid, tri_id, {S.r6('cpx', 'cx')}, {S.r6('cpy', 'cy')}, {S.r6('cpz', 'cz')}, {S.r6('dist')} FROM c")
 def closest(spark, sf):
-    o = T.load(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_custkey") % 500).alias("tri_id"))
+    many = T.load(spark, sf, "embeddings").agg(F.count("vec_id")).scalar()
+    o = T.load(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_custkey") % many).alias("tri_id"))
     d = T.mesh_points(spark, sf).drop("mesh_id").join(o, "qid").join(edge_dots(T.tris(spark, sf)), "tri_id")
     d = closest_point(d, V3.of())
     d = d.select("qid", "tri_id", F.col("c_x").alias("cx"), F.col("c_y").alias("cy"), F.col("c_z").alias("cz"), F.sqrt("d2").alias("dist"))

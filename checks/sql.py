@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 X = ("x", "y", "z")
 FR = ("6.180339887e-1", "4.142135623e-1", "7.320508075e-1")
 # "by" is a keyword, so the second corner is called e here
@@ -98,8 +100,9 @@ vox0 AS (SELECT f.*, i, j, k, (i+5e-1)*25e-2-1e0-cx AS dx, (j+5e-1)*25e-2-1e0-cy
  FROM fields f, range(8) a(i), range(8) b(j), range(8) c(k)),
 vox1 AS (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) AS l FROM vox0),
 vox AS (SELECT field_id, stride, i, j, k, i//4 AS bi, j//4 AS bj, k//4 AS bk, l, l-radius AS phi, dx/l AS nx, dy/l AS ny, dz/l AS nz FROM vox1)"""
-SPTS = f"""spts AS (SELECT field_id, o_orderkey AS qid, {cols(scatter("o_totalprice", "21e-1", "-105e-2"), "")}
- FROM orders JOIN (SELECT l_orderkey, min(l_suppkey) AS field_id FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey)"""
+SPTS = f"""spts AS (SELECT coalesce(field_id, -1) AS field_id, o_orderkey AS qid, {cols(scatter("o_totalprice", "21e-1", "-105e-2"), "")}
+ FROM orders LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS field_id FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey)"""
+RPTS = f"""spts AS (SELECT DISTINCT l_suppkey AS field_id, l_orderkey*10 + l_linenumber AS qid, {cols(scatter("l_extendedprice", "21e-1", "-105e-2"), "")} FROM lineitem)"""
 # index of the nearest voxel and of the cell, as in the grid arithmetic
 LOC = f"""loc AS (SELECT *, {", ".join(f"CAST(round(({a}+1e0)/25e-2-5e-1) AS BIGINT) AS i{a}" for a in X)},
  {", ".join(f"CAST(floor(({a}+1e0)/25e-2-5e-1) AS BIGINT) AS c{a}" for a in X)},
@@ -172,3 +175,17 @@ def signed(points, out):
 
 def with_(*ctes, recursive=False):
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n"
+
+
+def materialized(sql, *names):
+    """The named CTEs are computed once instead of at every reference."""
+    for n in names:
+        if f"{n} AS (" not in sql:
+            raise ValueError(n)
+        sql = re.sub(rf"(^|[\s,]){n} AS \(", rf"\1{n} AS MATERIALIZED (", sql, count=1)
+    return sql
+
+
+def unit(*parts):
+    """A number in [0, 1) from the first 13 hex digits of an md5 over the joined parts."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(map(str, parts))})), 1, 13) AS BIGINT) / 4503599627370496e0)"

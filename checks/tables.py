@@ -96,7 +96,7 @@ def sphere_voxels(spark, sf, hess: bool = True) -> DataFrame:
 
 
 def narrow_band(voxels: DataFrame) -> DataFrame:
-    """The stored voxels of a narrow band: blocks with a sample within 0.3, values as float."""
+    """The stored voxels of a narrow band: blocks with a sample within 0.1, values as float."""
     near = voxels.groupBy("field_id", "bi", "bj", "bk").agg(F.min(F.abs("phi")).alias("m")).filter("m <= 0.1")
     v = voxels.join(near.drop("m"), ["field_id", "bi", "bj", "bk"], "left_semi")
     return v.withColumns({c: F.col(c).cast("float") for c in ("phi", "nx", "ny", "nz")})
@@ -116,10 +116,17 @@ def sphere_candidates(spark, sf) -> DataFrame:
 
 
 def sphere_points(spark, sf) -> DataFrame:
-    """One point per order, asked of the field of the order's lowest supplier."""
+    """One point per order, asked of the field of the order's lowest supplier; -1, an unknown field, without items."""
     f = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("field_id"))
-    o = load(spark, sf, "orders").join(f, "o_orderkey")
-    return o.select("field_id", F.col("o_orderkey").alias("qid"), *[c.alias(a) for a, c in scatter("o_totalprice", 2.1, -1.05).items()])
+    o = load(spark, sf, "orders").join(f, "o_orderkey", "left")
+    return o.select(F.coalesce("field_id", F.lit(-1)).cast("bigint").alias("field_id"), F.col("o_orderkey").alias("qid"), *[c.alias(a) for a, c in scatter("o_totalprice", 2.1, -1.05).items()])
+
+
+def repeated_points(spark, sf) -> DataFrame:
+    """One point per line item; ids repeat, so a point of a field is asked many times under one id."""
+    l = load(spark, sf, "lineitem")
+    xyz = [c.alias(a) for a, c in scatter("l_extendedprice", 2.1, -1.05).items()]
+    return l.select(F.col("l_suppkey").alias("field_id"), (F.col("l_orderkey") % 50).alias("qid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("asked"), *xyz).distinct()
 
 
 # ---- contacts ------------------------------------------------------------------------------

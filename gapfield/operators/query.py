@@ -17,6 +17,7 @@ from ..functions.vec import AXES, V3, ratio, unit
 # index columns on the point side carry an underscore, so that a caller's own i, j, k survive
 PIJK = ("_i", "_j", "_k")
 KEY = ["field_id", *PIJK]
+POINT = ["field_id", "qid", *AXES]
 CORNERS = [(a, b, c) for c in (0, 1) for b in (0, 1) for a in (0, 1)]
 MAX_CANDIDATES = 8
 SPEC = ["field_id", "bminx", "bminy", "bminz", "voxx", "voxy", "voxz", "dimx", "dimy", "dimz"]
@@ -42,12 +43,15 @@ def _base(points: DataFrame) -> list[str]:
 
 
 def at_nearest(points: DataFrame, fields: DataFrame) -> DataFrame:
-    """Points with the index ``_i _j _k`` of the voxel they fall in and ``_in`` (inside the grid)."""
-    d = points.join(fields.select(*SPEC), "field_id")
+    """Points with the index ``_i _j _k`` of the voxel they fall in and ``_in`` (inside the grid).
+
+    A point of an unknown field stays, outside of everything.
+    """
+    d = points.join(fields.select(*SPEC), "field_id", "left")
     idx = grid.nearest_index(V3.of())
     d = d.withColumns({n: F.coalesce(c, F.lit(-1)) for n, c in zip(PIJK, idx)})
     at = [F.col(n) for n in PIJK]
-    d = d.withColumn("_in", grid.in_bounds(at))
+    d = d.withColumn("_in", F.coalesce(grid.in_bounds(at), F.lit(False)))
     return d.withColumns(grid.center(*at).named("_m"))
 
 
@@ -89,10 +93,10 @@ def _taylor(points, fields, voxels, second: bool) -> DataFrame:
 
 def at_cell(points: DataFrame, fields: DataFrame) -> DataFrame:
     """Points with the lower corner ``_i _j _k`` of their cell, fractions ``_tx _ty _tz`` and ``_in``."""
-    d = points.join(fields.select(*SPEC), "field_id")
+    d = points.join(fields.select(*SPEC), "field_id", "left")
     d = d.withColumns(grid.coordinate(V3.of()).named("_u"))
     d = d.withColumns({n: F.coalesce(c, F.lit(-1)) for n, c in zip(PIJK, grid.cell(V3.of("_u")))})
-    d = d.withColumn("_in", grid.in_bounds([F.col(n) for n in PIJK], margin=1))
+    d = d.withColumn("_in", F.coalesce(grid.in_bounds([F.col(n) for n in PIJK], margin=1), F.lit(False)))
     return d.withColumns({f"_t{a}": F.col(f"_u{a}") - F.col(n) for a, n in zip(AXES, PIJK)}).drop(
         "_ux", "_uy", "_uz"
     )
@@ -174,13 +178,14 @@ def _by_corners(points, fields, voxels, cubic: bool) -> DataFrame:
         F.col("phi").cast("double").alias("phi"),
         *([F.col(f"n{a}").cast("double").alias(f"n{a}") for a in AXES] if cubic else []),
     )
-    d = cell_corners(points.select("field_id", "qid", *AXES), fields)
+    # a point may be asked again under the same id; its coordinates belong to the key
+    d = cell_corners(points.select(*POINT).distinct(), fields)
     d = d.withColumns(_axis_columns(cubic, [F.col(o) == 1 for o in "abc"])).join(v, KEY)
     terms = _corner_terms(cubic, ("", "", ""), F.col("phi"), V3.of("n") if cubic else None)
-    s = d.groupBy("field_id", "qid").agg(
+    s = d.groupBy(*POINT).agg(
         F.count("phi").alias("_n"), *[F.sum(t).alias(n) for n, t in zip(("_g", "_gx", "_gy", "_gz"), terms)]
     )
-    return points.join(s, ["field_id", "qid"], "left").withColumn("_in", F.col("_n") == 8)
+    return points.join(s, POINT, "left").withColumn("_in", F.col("_n") == 8)
 
 
 def _tag(corner) -> str:
@@ -248,7 +253,7 @@ def _candidate_pick(points: DataFrame, fields: DataFrame, candidates: DataFrame)
         "field_id", *[F.col(n).cast("bigint").alias(f"_{n}") for n in grid.IJK], "rank", "branch_id",
         *[F.col(x).cast("double").alias(f"c_{x}") for x in ("phi", "nx", "ny", "nz")],
     )
-    d = at_nearest(points.select("field_id", "qid", *AXES), fields).filter("_in").join(c, KEY)
+    d = at_nearest(points.select(*POINT).distinct(), fields).filter("_in").join(c, KEY)
     d = d.withColumn("_cl", V3.of("c_n").norm())
     d = d.withColumns(unit(V3.of("c_n"), F.col("_cl")).named("_n"))
     d = d.withColumn("_gap", F.col("c_phi") + V3.of("_n").dot(V3.of() - V3.of("_m")))
@@ -257,7 +262,7 @@ def _candidate_pick(points: DataFrame, fields: DataFrame, candidates: DataFrame)
         "rank", F.col("_gap").alias("gap"), V3.of("_n").struct().alias("n"), w.struct().alias("witness"), "branch_id"
     )
     d = d.withColumns({"_abs": F.abs("_gap"), "_item": item})
-    return d.groupBy("field_id", "qid").agg(
+    return d.groupBy(*POINT).agg(
         F.min(F.struct("_abs", "rank", "_item")).alias("_best"),
         F.array_sort(F.collect_list("_item")).alias("_list"),
     )
@@ -267,9 +272,10 @@ def _candidate_mode(points, fields, voxels, candidates) -> DataFrame:
     """Fields without candidates answer as tricubic, voxels without candidates as first order."""
     has = fields.filter(F.coalesce(F.col("stride"), F.lit(0)) > 0)
     hasnt = fields.filter(F.coalesce(F.col("stride"), F.lit(0)) <= 0)
-    first = _taylor(points, has, voxels, second=False)
-    pick = _candidate_pick(points, has, candidates)
-    d = first.join(pick, ["field_id", "qid"], "left")
+    own = points.join(hasnt.select("field_id"), "field_id", "left_anti").select(*points.columns)
+    first = _taylor(own, has, voxels, second=False)
+    pick = _candidate_pick(own, has, candidates)
+    d = first.join(pick, POINT, "left")
     b = F.col("_best")["_item"]
     got = b.isNotNull()
     cols = {"gap": b["gap"], **V3.field(b["n"]).named("n"), **V3.field(b["witness"]).named("w")}
@@ -302,7 +308,7 @@ def query(
     cells: DataFrame | None = None,
     candidates: DataFrame | None = None,
 ) -> DataFrame:
-    """Answer all points in one of :data:`MODES`. A point whose field is unknown is dropped.
+    """Answer all points in one of :data:`MODES`. A point whose field is unknown is not valid.
 
     ``cells`` (from :func:`cell_table`) replaces ``voxels`` in the two cell modes and needs no
     aggregation, so it also serves streams.
@@ -312,9 +318,7 @@ def query(
     if mode == "second":
         return _taylor(points, fields, voxels, second=True)
     if mode in ("trilinear", "tricubic"):
-        # only points of known fields: the join inside drops the rest in every mode
-        pts = points if cells is not None else points.join(fields.select("field_id"), "field_id", "left_semi")
-        return _cell_mode(pts, fields, voxels, cells, cubic=mode == "tricubic")
+        return _cell_mode(points, fields, voxels, cells, cubic=mode == "tricubic")
     if mode == "candidates":
         return _candidate_mode(points, fields, voxels, candidates)
     raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")

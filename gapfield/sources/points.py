@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import grid
 from ..functions.vec import AXES
+from ..operators.ordered import running
 from ..session import spread
 
 
@@ -29,48 +29,47 @@ def _spread(df: DataFrame, n: int, name: str = "qid", step: int = 4096) -> DataF
     return d.withColumn(name, F.explode(F.sequence(F.col("_c") * step, last))).drop("_c")
 
 
+def unit_number(*parts) -> Column:
+    """A number in [0, 1) from the first 13 hex digits of an md5 over the joined parts."""
+    text = F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def random_points(fields: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` uniform points per field inside the range where every mode is valid.
 
-    A unit number is the upper 53 bits of a hash of (field, point, axis, seed), so any split of
-    the work gives the same points.
+    A unit number is a hash of (field, point, axis, seed), so any split of the work gives the
+    same points.
     """
     d = _spread(fields, n)
     cols = []
     for q, a in enumerate(AXES):
-        h = F.xxhash64(F.col("field_id"), F.col("qid"), F.lit(q), F.lit(seed))
-        u = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
         dim = F.col(f"dim{a}")
         lo = F.when(dim > 3, 0.05).otherwise(0.0)
         hi = F.when(dim > 3, dim - 1.05).otherwise(0.0)
+        u = unit_number("field_id", "qid", q, seed)
         cols.append((F.col(f"bmin{a}") + F.col(f"vox{a}") * (lo + (hi - lo) * u + 0.5)).alias(a))
     return d.select("field_id", "qid", *cols)
 
 
-def block_points(voxels: DataFrame, fields: DataFrame, n: int) -> DataFrame:
-    """``n`` points per field spread over its stored blocks in block order, off the voxel centres.
+def block_points(voxels: DataFrame, fields: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` points per field dealt evenly over its stored blocks, uniform within each block.
 
-    Block, voxel and offset follow from the point number alone.
+    Blocks are numbered by running counts over layers of equal ``bk``; block r of m makes the
+    points r, r + m, r + 2 m and so on, so points and blocks are never joined.
     """
-    from pyspark.sql import Window
-
     blocks = voxels.select("field_id", "bi", "bj", "bk").distinct()
-    w = Window.partitionBy("field_id").orderBy("bk", "bj", "bi")
-    blocks = blocks.withColumn("_at", (F.row_number().over(w) - 1).cast("bigint"))
-    count = blocks.groupBy("field_id").agg(F.count(F.lit(1)).alias("_nb"))
-    d = _spread(fields.join(count, "field_id"), n)
-    d = d.withColumn("_at", F.pmod("qid", "_nb")).join(blocks, ["field_id", "_at"])
-    bd = F.col("block_dim").cast("bigint")
-    # The multiplier that scatters voxels and the offset pattern per axis.
-    local = F.pmod(F.col("qid") * F.lit(2654435761).cast("bigint"), bd * bd * bd)
-    d = d.withColumn("_l", local)
-    loc = [F.pmod("_l", bd), F.pmod(F.floor(F.col("_l") / bd), bd), F.floor(F.col("_l") / (bd * bd))]
-    inner = [F.when(bd > 2, F.pmod(c, F.greatest(bd - 2, F.lit(1))) + 1).otherwise(c) for c in loc]
-    d = d.withColumns({i: F.col(b) * bd + c for i, b, c in zip(grid.IJK, ("bi", "bj", "bk"), inner)})
-    inside = grid.in_bounds([F.col(i) for i in grid.IJK])
+    layers = blocks.groupBy("field_id", "bk", "bj").agg(F.count("bi").alias("_size"))
+    ahead = running(layers, ["field_id"], ["bk", "bj"], F.col("bk"), sums={"_upto": F.col("_size")}).select("field_id", "bk", "bj", (F.col("_upto") - F.col("_size")).alias("_ahead"))
+    row = Window.partitionBy("field_id", "bk", "bj").orderBy("bi")
+    count = layers.groupBy("field_id").agg(F.sum("_size").alias("_m"))
+    d = blocks.withColumn("_in", F.row_number().over(row) - 1).join(ahead, ["field_id", "bk", "bj"]).join(count, "field_id")
+    d = spread(d.withColumn("_r", (F.col("_ahead") + F.col("_in")).cast("bigint")).where(F.col("_r") < n), "field_id", "_r")
+    d = d.withColumn("qid", F.explode(F.sequence(F.col("_r"), F.lit(n - 1).cast("bigint"), F.col("_m").cast("bigint"))))
+    d = d.join(fields, "field_id")
     cols = []
-    for a, c, m in zip(AXES, grid.center(), (13, 17, 19)):
-        off = (F.pmod(F.col("qid") * m, F.lit(9)) - 4.0) / 40.0
-        mid = (F.col(f"bmin{a}") + F.col(f"bmax{a}")) * 0.5
-        cols.append(F.when(inside, c + F.col(f"vox{a}") * off).otherwise(mid).alias(a))
+    for q, (a, b) in enumerate(zip(AXES, ("bi", "bj", "bk"))):
+        first = F.col(b) * F.col("block_dim")
+        size = F.least(F.col("block_dim"), F.col(f"dim{a}") - first)
+        cols.append((F.col(f"bmin{a}") + F.col(f"vox{a}") * (first + size * unit_number("field_id", "qid", q, seed))).alias(a))
     return d.select("field_id", "qid", *cols)

@@ -8,7 +8,7 @@ from conftest import DATA
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NO_ORACLE = {"build_candidates", "random_points"}
+NO_ORACLE = {"build_candidates"}
 
 
 @pytest.fixture(scope="module")
