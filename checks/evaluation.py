@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from gapfield import session
 from gapfield.functions import pose
 from gapfield.operators import contact, mesh
 from gapfield.operators import query as Q
@@ -28,9 +28,8 @@ FT = [*C.FT, *C.FTB]
 
 
 def shared_folder(spark) -> str:
-    """A new folder below the cluster's shared one, or below /tmp where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder below the one that driver and executors share."""
+    return f"{session.shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 # ---- bodies moving over five times -----------------------------------------------------------

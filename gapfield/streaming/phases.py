@@ -4,76 +4,118 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.phases import ACTIVE, IMPACTING, INACTIVE, LEAVING, STABLE, PhaseParams
 
-STATE = "phase string, stable int, release int, pen double, t double"
+#: What a contact carries from one row to the next: separated rows in a row, whether it is on, whether
+#: the last row switched it on, good rows since the last restart, and the last penetration.
+CARRY = "run bigint, is_on boolean, entered boolean, good bigint, penetration double"
+ROW = "t double, ts_ms bigint, gap double, penetration double, active_count bigint, normal_velocity double"
 OUT = (
     "run_id string, cp_id bigint, t double, gap double, penetration double, "
     "phase string, stable_count int, release_count int"
 )
+START = (0, False, False, 0, 0.0)
 
 
-def advance(state: tuple, row, p: PhaseParams) -> tuple:
-    """State after one measure row: ``(phase, stable, release, penetration)``."""
-    phase, stable, release, before = state
-    if phase != INACTIVE:
-        if row.gap > p.release_gap and row.normal_velocity >= -p.vn_tol:
-            release += 1
-            phase = LEAVING
-            if release >= p.release_steps:
-                phase, stable, release = INACTIVE, 0, 0
-        elif phase == IMPACTING:
-            phase, release = ACTIVE, 0
-        else:
-            release = 0
-            change = abs(row.penetration - before)
-            small = change <= p.penetration_tol or change / max(abs(before), p.penetration_tol) <= p.rel_change
-            held = row.active_count > 0 and small and abs(row.normal_velocity) <= p.vn_tol
-            stable = stable + 1 if held else 0
-            phase = STABLE if stable >= p.stable_steps else ACTIVE
-    if phase == INACTIVE and row.gap <= 0:
-        phase = IMPACTING
-    return phase, stable, release, row.penetration
-
-
-def track_phases(
-    stream: DataFrame, p: PhaseParams = PhaseParams(), delay: str = "10 seconds", idle_ms: int = 3_600_000
-) -> DataFrame:
-    """Phases of arriving rows ``(run_id, cp_id, ts, t, gap, penetration, active_count,
-    normal_velocity)``.
+def _count_since(flag: np.ndarray, restart: np.ndarray, carried: int) -> np.ndarray:
+    """Flagged rows after the last restart row; before the first one the carried count goes on."""
+    total = np.cumsum(flag & ~restart)
+    at = np.maximum.accumulate(np.where(restart, np.arange(len(flag)), -1))
+    return np.where(at >= 0, total - total[np.maximum(at, 0)], total + carried)
+
+
+def _last_known(value: np.ndarray, known: np.ndarray, carried) -> np.ndarray:
+    at = np.maximum.accumulate(np.where(known, np.arange(len(value)), -1))
+    return np.where(at >= 0, value[np.maximum(at, 0)], carried)
 
-    The state per contact is five numbers. Rows behind the watermark are dropped by Spark; a row
-    that is older than the state of its contact is ignored; a contact that stays silent for
-    ``idle_ms`` of event time gives its state back.
+
+def step(rows: pd.DataFrame, carry: tuple, p: PhaseParams) -> tuple[pd.DataFrame, tuple]:
+    """Phases of one contact's rows in order, and what it carries on: the batch rules on arrays.
+
+    A touch switches a contact on, a completed release off; the release count is the run of
+    separated rows, the stable count the good rows since the last bad row or completed release.
     """
+    run0, on0, entered0, good0, pen0 = carry
+    gap, pen, vn = (rows[c].to_numpy(float) for c in ("gap", "penetration", "normal_velocity"))
+    separated = (gap > p.release_gap) & (vn >= -p.vn_tol)
+    run = _count_since(separated, ~separated, run0)
+    touch = gap <= 0
+    on = _last_known(touch, touch | (run >= p.release_steps), on0).astype(bool)
+    was_on = np.append(on0, on[:-1])
+    enter = on & ~was_on
+    before = np.append(pen0, pen[:-1])
+    change = np.abs(pen - before)
+    small = (change <= p.penetration_tol) | (change / np.maximum(np.abs(before), p.penetration_tol) <= p.rel_change)
+    checked = on & ~enter & ~separated & ~np.append(entered0, enter[:-1])
+    good = checked & (rows["active_count"].to_numpy() > 0) & small & (np.abs(vn) <= p.vn_tol)
+    stable = _count_since(good, (checked & ~good) | (was_on & ~on), good0)
+    phase = np.select([~on, enter, separated, checked & (stable >= p.stable_steps)], [INACTIVE, IMPACTING, LEAVING, STABLE], ACTIVE)
+    out = rows[["t", "gap", "penetration"]].assign(phase=phase, stable_count=stable.astype(np.int32), release_count=np.where(on & separated, run, 0).astype(np.int32))
+    return out, (int(run[-1]), bool(on[-1]), bool(enter[-1]), int(stable[-1]), float(pen[-1]))
+
+
+class PhaseTracker(StatefulProcessor):
+    """Holds a contact's rows until the watermark has passed them, then applies them in order of time."""
+
+    def __init__(self, p: PhaseParams):
+        self.p = p
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carry = handle.getValueState("carry", CARRY)
+        self.held = handle.getListState("held", ROW)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for part in rows:
+            self.held.appendList([tuple(r) for r in part[["t", "ts_ms", "gap", "penetration", "active_count", "normal_velocity"]].itertuples(index=False)])
+            self.handle.registerTimer(int(part["ts_ms"].min()))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        names = [c.split()[0] for c in ROW.split(", ")]
+        rows = pd.DataFrame(list(self.held.get()), columns=names)
+        if not len(rows):
+            yield pd.DataFrame()
             return
-        phase, stable, release, pen, seen = state.get if state.exists else (INACTIVE, 0, 0, 0.0, float("-inf"))
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("t", kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.t <= seen:
-                continue
-            phase, stable, release, pen = advance((phase, stable, release, pen), r, p)
-            seen = float(r.t)
-            out.append((str(key[0]), int(key[1]), seen, r.gap, r.penetration, phase, stable, release))
-        state.update((phase, int(stable), int(release), float(pen), float(seen)))
-        newest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["run_id", "cp_id", "t", "gap", "penetration", "phase", "stable_count", "release_count"])
+        due = rows["ts_ms"] <= timerValues.getCurrentWatermarkInMs()
+        later = rows[~due]
+        if len(later):
+            self.held.put([tuple(r) for r in later.itertuples(index=False)])
+            self.handle.registerTimer(int(later["ts_ms"].min()))
+        else:
+            self.held.clear()
+        ready = rows[due].sort_values(["ts_ms", "t"], kind="stable")
+        if not len(ready):
+            yield pd.DataFrame()
+            return
+        out, carry = step(ready, self.carry.get() if self.carry.exists() else START, self.p)
+        self.carry.update(carry)
+        out.insert(0, "run_id", str(key[0]))
+        out.insert(1, "cp_id", int(key[1]))
+        yield out
+
+    def close(self) -> None:
+        pass
 
+
+def track_phases(stream: DataFrame, p: PhaseParams = PhaseParams(), delay: str = "10 seconds") -> DataFrame:
+    """Phases of arriving rows ``(run_id, cp_id, ts, t, gap, penetration, active_count,
+    normal_velocity)``.
+
+    Rows may arrive in any order within ``delay`` of the newest time seen; a row comes out once the
+    watermark has passed its time, in order. Rows behind the watermark are dropped by Spark. State
+    per contact are five numbers and the rows that still wait. Needs the RocksDB state store.
+    """
     keyed = stream.select(
         F.col("run_id").cast("string").alias("run_id"), F.col("cp_id").cast("bigint").alias("cp_id"),
-        "ts", "t", "gap", "penetration", "active_count", "normal_velocity",
+        "ts", F.unix_millis("ts").alias("ts_ms"), "t", "gap", "penetration", F.col("active_count").cast("bigint").alias("active_count"), "normal_velocity",
     )
-    return keyed.withWatermark("ts", delay).groupBy("run_id", "cp_id").applyInPandasWithState(
-        step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    return keyed.withWatermark("ts", delay).groupBy("run_id", "cp_id").transformWithStateInPandas(
+        PhaseTracker(p), OUT, "Append", "EventTime"
     )

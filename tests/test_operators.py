@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from brute import closest, mesh_frames, signed, sphere_mesh
 from pyspark.sql import functions as F
@@ -223,8 +224,9 @@ def test_running_equals_plain_window(spark):
     assert ordered.suggest_width(d, ["k"], "t", 30) < 400
 
 
-def test_phases_against_state_machine(spark):
-    from gapfield.streaming.phases import advance
+def test_phases_in_batch_and_in_pieces(spark):
+    """The batch form, and the stream's step over random cuts of the same series, give the same rows."""
+    from gapfield.streaming.phases import START, step
 
     rng = np.random.default_rng(11)
     P = phases.PhaseParams()
@@ -237,10 +239,15 @@ def test_phases_against_state_machine(spark):
     out = phases.phases(m, ordered.bucket_of("t", 2.0)).orderBy("run_id", "t").collect()
     assert {r.phase for r in out} == {"INACTIVE", "IMPACTING", "ACTIVE", "STABLE", "LEAVING"}
     for r in range(6):
-        st = ("INACTIVE", 0, 0, 0.0)
-        for g in (x for x in out if x.run_id == r):
-            st = advance(st, g, P)
-            assert (g.phase, g.stable_count, g.release_count) == st[:3]
+        own = pd.DataFrame([x.asDict() for x in out if x.run_id == r])
+        cuts = [0, *sorted(rng.choice(np.arange(1, len(own)), 12, replace=False)), len(own)]
+        carry, parts = START, []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            got, carry = step(own.iloc[lo:hi], carry, P)
+            parts.append(got)
+        got = pd.concat(parts)
+        for c in ("phase", "stable_count", "release_count"):
+            assert got[c].tolist() == own[c].tolist()
 
 
 def test_alignment_equals_numpy(spark):
