@@ -45,12 +45,12 @@ _mm = S.mat("b")
 _world = S.add(S.vec("ra"), S.matvec(S.mat("u"), S.vec("c")))
 _eval = f"""tc0 AS (SELECT mesh_id, tri_id, (ax+ex+cx)/3e0 AS cx, (ay+ey+cy)/3e0 AS cy, (az+ez+cz)/3e0 AS cz, fl*5e-1/sum(fl*5e-1) OVER (PARTITION BY mesh_id) AS w FROM tril),
 ep AS (SELECT p.*, c.tri_id, c.w, CAST(t AS BIGINT)*100000 + c.tri_id AS qid, {S.cols(_world, 'p')} FROM pp p JOIN tc0 c ON c.mesh_id = CAST(cp_id % 10 AS VARCHAR)),
-el AS (SELECT *, {S.cols(S.matvec(S.transpose(_mm), S.sub(S.vec('p'), S.vec('rb'))), 'l')} FROM ep),
-spts AS (SELECT cp_id AS field_id, qid, lx AS x, ly AS y, lz AS z FROM el)"""
-_world_grad = S.matvec(_mm, S.vec("g.g"))
-_rows = f"""crows AS (SELECT 'r' AS run_id, e.t, e.cp_id, e.qid, g.gap, e.w, {S.cols(_world_grad, 'g')}, px, py, pz, rax, ray, raz, rbx, rby, rbz,
+el AS (SELECT *, CASE WHEN s_nationkey % 5 = 0 THEN -cp_id ELSE cp_id END AS fid, {S.cols(S.matvec(S.transpose(_mm), S.sub(S.vec('p'), S.vec('rb'))), 'l')} FROM ep),
+spts AS (SELECT fid AS field_id, qid, lx AS x, ly AS y, lz AS z FROM el)"""
+_world_grad = S.matvec(_mm, [f"(CASE WHEN fid < 0 THEN {d} ELSE g.g{a} END)" for a, d in zip(X, ("0e0", "0e0", "1e0"))])
+_rows = f"""crows AS (SELECT 'r' AS run_id, e.t, e.cp_id, e.qid, CASE WHEN fid < 0 THEN lz ELSE g.gap END AS gap, e.w, {S.cols(_world_grad, 'g')}, px, py, pz, rax, ray, raz, rbx, rby, rbz,
  1e-1 AS vax, 2e-1 AS vay, -3e-1 AS vaz, 3e-1 AS oax, -1e-1 AS oay, 2e-1 AS oaz, 0e0 AS vbx, 0e0 AS vby, 0e0 AS vbz, 0e0 AS obx, 1e-1 AS oby, 0e0 AS obz,
- g.ok AS valid, 1e4 AS k, 3e-1 AS mu, 1e0 + e.cp_id % 2 AS ord, 5e1 AS damping, 1e-4 AS reg, 0e0 AS eps FROM el e JOIN tl g ON e.cp_id = g.field_id AND e.qid = g.qid WHERE g.ok)"""
+ TRUE AS valid, 1e4 AS k, 3e-1 AS mu, 1e0 + e.cp_id % 2 AS ord, 5e1 AS damping, 1e-4 AS reg, 0e0 AS eps FROM el e JOIN tl g ON e.fid = g.field_id AND e.qid = g.qid WHERE g.ok OR fid < 0)"""
 
 
 def moving_bodies(spark, sf):
@@ -72,21 +72,40 @@ def moving_bodies(spark, sf):
     )
     contacts = s.select(
         F.col("s_suppkey").alias("cp_id"), F.col("s_suppkey").alias("body_a"), (F.col("s_nationkey") + 1000000).cast("bigint").alias("body_b"),
-        (F.col("s_suppkey") % 10).cast("string").alias("mesh_id"), F.col("s_suppkey").alias("field_id"), F.lit(1e4).alias("k"), F.lit(0.3).alias("mu"),
+        (F.col("s_suppkey") % 10).cast("string").alias("mesh_id"), F.when(F.col("s_nationkey") % 5 == 0, -F.col("s_suppkey")).otherwise(F.col("s_suppkey")).alias("field_id"), F.lit(1e4).alias("k"), F.lit(0.3).alias("mu"),
         (F.lit(1.0) + F.col("s_suppkey") % 2).alias("k_order"), F.lit(50.0).alias("damping"), F.lit(1e-4).alias("regularizer"),
     )
     return a.unionByName(b), contacts
 
 
-@query("evaluate_contacts", S.with_(S.TRI, S.TRIN, _poses, _eval, S.SPHERES, S.LOC, CORNERS, _cell(False, "tl"), _rows, C._forces(True)) + f"SELECT t, cp_id, {S.r6s(FT, 4)} FROM wb WHERE abs(fx)+abs(fy)+abs(fz) > 1e-9")
-def evaluate_contacts(spark, sf):
-    """Meshes moving through sphere fields: broad phase, field query, law, wrench, all times in one job."""
+_ctes = (S.TRI, S.TRIN, _poses, _eval, S.SPHERES, S.LOC, CORNERS, _cell(False, "tl"), _rows, C._forces(True))
+_evaluated = S.materialized(S.with_(*_ctes), "el", "tl", "crows", "f5")
+
+
+def _evaluate(spark, sf, plan):
     poses, contacts = moving_bodies(spark, sf)
     q = mesh.surface_points(T.tris(spark, sf)).select("mesh_id", "qid", "x", "y", "z", "w")
     cells = Q.cell_table(T.sphere_voxels(spark, sf, hess=False), cubic=False)
-    w = evaluate.evaluate_contacts(poses, contacts, q, T.sphere_fields(spark, sf), cells)
-    w = w.filter(F.abs("fx") + F.abs("fy") + F.abs("fz") > 1e-9)
-    return rounded(w.select("t", "cp_id", *FT), FT, 4)
+    return plan(poses, contacts, q, T.sphere_fields(spark, sf), cells)
+
+
+@query("evaluate_contacts", _evaluated + f"SELECT pp.t, pp.cp_id, {', '.join(S.r6(f'coalesce({c}, 0e0)', c, 4) for c in FT)} FROM pp LEFT JOIN wb ON pp.t = wb.t AND pp.cp_id = wb.cp_id")
+def evaluate_contacts(spark, sf):
+    """Meshes moving through sphere fields and planes: broad phase, field query, law, wrench, all times in one job."""
+    return rounded(_evaluate(spark, sf, evaluate.evaluate_contacts).select("t", "cp_id", *FT), FT, 4)
+
+
+_meas = """me AS (SELECT t, cp_id, arg_min(struct_pack(gap := gap, vn := un), gap) AS m, count(*) AS valid_count, count(*) FILTER (WHERE gap < 0) AS active_count FROM f5 GROUP BY ALL)"""
+
+
+@query("evaluate_measures", _evaluated.rstrip() + ",\n" + _meas + f""" SELECT pp.t, pp.cp_id, {S.r6('coalesce(m.gap, 1e9)', 'gap')}, {S.r6('greatest(0e0, coalesce(-m.gap, 0e0))', 'penetration')},
+ coalesce(active_count, 0) AS active_count, coalesce(valid_count, 0) AS valid_count, {S.r6('coalesce(m.vn, 0e0)', 'normal_velocity', 5)} FROM pp LEFT JOIN me ON pp.t = me.t AND pp.cp_id = me.cp_id""")
+def evaluate_measures(spark, sf):
+    """The measures of the same contacts; an infinite gap is written as 1e9."""
+    d = _evaluate(spark, sf, evaluate.evaluate_measures)
+    d = d.withColumn("gap", F.when(F.col("gap") == float("inf"), 1e9).otherwise(F.col("gap")))
+    d = d.select("t", "cp_id", "gap", "penetration", "active_count", "valid_count", "normal_velocity")
+    return rounded(rounded(d, ["gap", "penetration"]), ["normal_velocity"], 5)
 
 
 # ---- sweep of rings over fields -----------------------------------------------------------------
