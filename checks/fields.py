@@ -272,7 +272,7 @@ def surface_accuracy(spark, sf):
 
 # ---- builds over the embedding meshes -------------------------------------------------------
 
-P = build.BuildParams(padding=0.1, target=6, max_res=8, levels=1, probe_tiles=4, block_dim=4, band=0.02, halo=0, tile=4)
+P = build.BuildParams(padding=0.1, target=6, max_res=8, levels=1, block_dim=4, band=0.02, halo=0, tile=4)
 _grid = f"""b AS (SELECT mesh_id, {", ".join(f"min({a}) AS lo{a}, max({a}) AS hi{a}" for a in X)} FROM vert GROUP BY mesh_id),
 p0 AS (SELECT *, 1e-1*{S.norm(S.sub(S.vec("hi"), S.vec("lo")))} AS pad FROM b),
 p1 AS (SELECT *, {", ".join(f"lo{a}-pad AS bmin{a}, hi{a}-lo{a}+2e0*pad AS l{a}" for a in X)} FROM p0),

@@ -140,18 +140,41 @@ def closest(spark, sf):
     return rounded(d, ["cx", "cy", "cz", "dist"])
 
 
+def split_tris(spark, sf, n: int):
+    """Every triangle cut into n * n equal ones: a fine mesh on the same surface."""
+    d = T.tris(spark, sf).select("mesh_id", "tri_id", *[f"{k}{a}" for k in "abc" for a in AXES])
+    d = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2 * (n - 1)) - 2 * F.col("i"))))
+    # row i of the triangle holds 2 * (n - i) - 1 small ones, every other one turned
+    k, odd = F.floor(F.col("j") / 2), F.col("j") % 2 == 1
+    corners = {"a": (F.when(odd, 1).otherwise(0), F.lit(0)), "b": (F.when(odd, 1).otherwise(1), F.when(odd, 1).otherwise(0)), "c": (F.lit(0), F.lit(1))}
+    out = {}
+    for c, (du, dv) in corners.items():
+        u, v = (k + du) / float(n), (F.col("i") + dv) / float(n)
+        for a in AXES:
+            out[f"_{c}{a}"] = F.col(f"a{a}") + u * (F.col(f"b{a}") - F.col(f"a{a}")) + v * (F.col(f"c{a}") - F.col(f"a{a}"))
+    d = d.select("mesh_id", (F.col("tri_id") * (2 * n * n) + F.col("i") * 2 * n + F.col("j")).alias("tri_id"), *[x.alias(c) for c, x in out.items()])
+    return mesh.with_attributes(d.withColumnsRenamed({f"_{c}{a}": f"{c}{a}" for c in "abc" for a in AXES}))
+
+
+@query("nearest_triangle_fine", S.with_(S.PTS, S.TRI, "pr AS (SELECT p.qid, p.x, p.y, p.z, t.* FROM pts p JOIN tri t ON p.mesh_id = t.mesh_id)", S.closest("pr", ["qid", "tri_id"], "c")) + f"SELECT qid, {S.r6('min(dist)', 'dist')} FROM c GROUP BY qid")
+def nearest_fine(spark, sf):
+    """The same surfaces cut 144 times finer and searched through four levels: distances must not change."""
+    r = nearest.nearest_triangle(T.mesh_points(spark, sf), split_tris(spark, sf, 12), levels=4)
+    return rounded(r.select("qid", F.sqrt("d2").alias("dist")), ["dist"])
+
+
 _all = "pp AS (SELECT mesh_id, qid AS pid, x, y, z FROM pts)"
 
 
 @query("nearest_triangle", S.with_(S.PTS, S.TRI, "pr AS (SELECT p.qid, p.x, p.y, p.z, t.* FROM pts p JOIN tri t ON p.mesh_id = t.mesh_id)", S.closest("pr", ["qid", "tri_id"], "c")) + f"SELECT qid, arg_min(tri_id, dist) AS tri_id, {S.r6('min(dist)', 'dist')} FROM c GROUP BY qid")
 def nearest_tri(spark, sf):
-    r = nearest.nearest_triangle(T.mesh_points(spark, sf), T.tris(spark, sf), tiles=8)
+    r = nearest.nearest_triangle(T.mesh_points(spark, sf), T.tris(spark, sf))
     return rounded(r.select("qid", "tri_id", F.sqrt("d2").alias("dist")), ["dist"])
 
 
 @query("signed_distance", S.with_(S.PTS, S.TRI, S.TRIN, _all, S.signed("pp", "sd")) + f"SELECT pid AS qid, tri_id, hits, {S.r6s(['phi', 'nx', 'ny', 'nz', 'wx', 'wy', 'wz'])} FROM sd")
 def signed_distance(spark, sf):
-    r = nearest.signed_distance(T.mesh_points(spark, sf), T.tris(spark, sf), tiles=8)
+    r = nearest.signed_distance(T.mesh_points(spark, sf), T.tris(spark, sf))
     names = ["phi", "nx", "ny", "nz", "wx", "wy", "wz"]
     return rounded(r.select("qid", "tri_id", "hits", *names), names)
 

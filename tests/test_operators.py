@@ -18,8 +18,8 @@ def pts_frame(spark, p, mesh_id="m"):
     return spark.createDataFrame([(mesh_id, i, *map(float, x)) for i, x in enumerate(p)], "mesh_id string, qid long, x double, y double, z double")
 
 
-@pytest.mark.parametrize("levels,tiles", [(1, 4), (3, 8)])
-def test_nearest_and_sign_on_a_closed_mesh(spark, levels, tiles):
+@pytest.mark.parametrize("levels", [1, 3, 4])
+def test_nearest_and_sign_on_a_closed_mesh(spark, levels):
     v, f = sphere_mesh()
     # exact copies of a face and one tiny cluster far away
     f = np.vstack([f, f[:5]])
@@ -29,13 +29,13 @@ def test_nearest_and_sign_on_a_closed_mesh(spark, levels, tiles):
     rng = np.random.default_rng(2)
     p = np.vstack([rng.uniform(-1.4, 1.4, (150, 3)), rng.uniform(-40, 40, (20, 3)), v[:5] * 0.999, [[0.01, 0.02, 0.03]]])
     t = mesh.triangles(*mesh_frames(spark, v, f))
-    got = {r.qid: r for r in nearest.signed_distance(pts_frame(spark, p), t, levels=levels, tiles=tiles).collect()}
+    got = {r.qid: r for r in nearest.signed_distance(pts_frame(spark, p), t, levels=levels).collect()}
     assert len(got) == len(p)
     for i, x in enumerate(p):
         s, _, n = signed(x, v, f)
         assert got[i].dist == pytest.approx(abs(s), abs=1e-9)
         assert got[i].hits == n and got[i].phi == pytest.approx(s, abs=1e-9)
-    far = nearest.nearest_triangle(pts_frame(spark, p), t, levels=levels, tiles=tiles).collect()
+    far = nearest.nearest_triangle(pts_frame(spark, p), t, levels=levels).collect()
     a, b, c = (v[f[:, q]] for q in range(3))
     for r in far:
         _, d2 = closest(p[r.qid], a, b, c)
@@ -57,7 +57,7 @@ def test_build_dense_and_sparse(spark):
     v, f = sphere_mesh(6, 8)
     vs, fs = mesh_frames(spark, v, f)
     t = mesh.triangles(vs, fs).cache()
-    p = build.BuildParams(target=12, max_res=16, block_dim=4, band=0.05, halo=1, levels=2, probe_tiles=4)
+    p = build.BuildParams(target=12, max_res=16, block_dim=4, band=0.05, halo=1, levels=2)
     spec = build.field_specs(vs, p).cache()
     r = spec.first()
     diag = 2 * math.sqrt(3)
@@ -102,7 +102,7 @@ def test_build_candidates(spark, sparse):
     f = np.array([[0, 1, 2], [0, 2, 3], [0, 1, 4], [3, 5, 2], [0, 4, 5], [0, 5, 3], [1, 2, 5], [1, 5, 4]])
     vs, fs = mesh_frames(spark, v, f)
     t = mesh.triangles(vs, fs)
-    p = build.BuildParams(target=8, max_res=8, block_dim=4, tile=2, levels=1, probe_tiles=2, store_hessian=False)
+    p = build.BuildParams(target=8, max_res=8, block_dim=4, tile=2, levels=1, store_hessian=False)
     spec = build.field_specs(vs, p, "candidates")
     vox, cand = build.build_candidates(t, spec, p, sparse)
     got = {}
