@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from gapfield import session
@@ -13,7 +14,7 @@ from gapfield.operators import query as Q
 from gapfield.plans import evaluate
 from gapfield.operators.ordered import running
 from gapfield.plans.model_import import import_models
-from gapfield.sources import obj, signal_files, store
+from gapfield.sources import field_files, obj, signal_files, store
 from gapfield.sources.lines import read_lines
 from gapfield.sources.shapes import annular_sectors
 
@@ -221,3 +222,36 @@ def obj_files(spark, sf):
     v2, f2 = obj.parse_obj(lines)
     d = mesh.join_corners(f2, v2).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ax").alias("sx"), F.sum("by").alias("sy"), F.sum("cz").alias("sz"))
     return rounded(d, ["sx", "sy", "sz"], 5)
+
+
+# ---- binary field files ---------------------------------------------------------------------------
+
+
+def write_field_files(voxels, folder: str) -> int:
+    """One dense file per field of 8 voxels along each axis, written by the tasks; the number of files."""
+    columns = [["phi"], ["nx", "ny", "nz"], ["wx", "wy", "wz"]]
+
+    def one(pdf):
+        pdf = pdf.sort_values(["k", "j", "i"])
+        head = field_files.HEADER.pack(field_files.MAGIC, field_files.VERSION, 8, 8, 8, *[-1.0] * 3, *[1.0] * 3, *[0.25] * 3, 0, (1).to_bytes(4, "little").ljust(32, b"\0"))
+        system, base = fs.FileSystem.from_uri(folder)
+        with system.open_output_stream(f"{base}/{pdf['field_id'].iloc[0]}.sdf") as f:
+            f.write(head + b"".join(pdf[c].to_numpy("<f8").tobytes() for c in columns))
+        return pdf[["field_id"]].head(1)
+
+    system, base = fs.FileSystem.from_uri(folder)
+    system.create_dir(base, recursive=True)
+    return voxels.groupBy("field_id").applyInPandas(one, "field_id bigint").count()
+
+
+@query("field_file_import", S.with_(S.SPHERES) + "SELECT field_id, i, j, k, " + ", ".join(S.r6(c) for c in ("phi", "nx", "ny", "nz")) + ", " + S.r6("(i+5e-1)*25e-2-1e0 - phi*nx", "wx") + " FROM vox")
+def field_file_import(spark, sf):
+    """Sphere fields written as binary files, one per supplier, and imported by byte ranges."""
+    v = T.sphere_voxels(spark, sf, hess=False)
+    w = {f"w{a}": (F.col(c) + 0.5) * 0.25 - 1.0 - F.col("phi") * F.col(f"n{a}") for a, c in zip(X, "ijk")}
+    base = shared_folder(spark)
+    folder = base if ":" in base else f"file://{base}"
+    write_field_files(v.withColumns(w), folder)
+    r = field_files.import_field_files(spark, f"{folder}/*.sdf")["voxels"]
+    out = r.select(F.col("field_id").cast("bigint").alias("field_id"), *[F.col(c).cast("bigint").alias(c) for c in "ijk"], "phi", "nx", "ny", "nz", "wx")
+    return rounded(out, ["phi", "nx", "ny", "nz", "wx"])

@@ -1,4 +1,9 @@
-"""Import of binary field files into the voxel table."""
+"""Import of binary field files into the voxel table, by byte ranges.
+
+All four layouts have fixed strides after the header, so a file is cut into slices of voxels (or of
+whole blocks) from its header alone. A task reads only the bytes of its slices; a file of any size
+is read by many tasks, and the candidate arrays only when candidates are asked for.
+"""
 
 from __future__ import annotations
 
@@ -7,202 +12,199 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, spread
+
 # Fixed values of the file format: magic, version 0.1.0, flag bits, layout codes, header layout.
 MAGIC = b"SDFO"
 VERSION = 100
 HAS_HESSIAN, SPARSE, CANDIDATES = 1, 2, 4
-DENSE_LAYOUT, SPARSE_LAYOUT, DENSE_CAND_LAYOUT, SPARSE_CAND_LAYOUT = 1, 2, 3, 4
 HEADER = struct.Struct("<4sI3I3d3d3dI32s")
 LAYOUTS = {1: "dense", 2: "sparse", 3: "dense_candidates", 4: "sparse_candidates"}
 MAX_STRIDE = 8
-CHUNK = 65536
-
-VOXEL = ["phi", "nx", "ny", "nz", "hxx", "hxy", "hxz", "hyy", "hyz", "hzz", "wx", "wy", "wz"]
-SCHEMA = (
-    "kind string, field_id string, i int, j int, k int, bi int, bj int, bk int, rank int, branch_id bigint, "
-    + ", ".join(f"{c} double" for c in VOXEL)
-    + ", head struct<bminx:double,bminy:double,bminz:double,bmaxx:double,bmaxy:double,bmaxz:double,"
-    "voxx:double,voxy:double,voxz:double,dimx:int,dimy:int,dimz:int,layout:string,block_dim:int,halo:int,"
-    "band:double,stride:int,has_hessian:boolean>, detail string"
+# Voxels that one slice holds, whole blocks in sparse files.
+SLICE = 65536
+
+HESSIAN = ["hxx", "hxy", "hxz", "hyy", "hyz", "hzz"]
+VOXEL = ["phi", "nx", "ny", "nz", *HESSIAN, "wx", "wy", "wz"]
+HEAD = (
+    "path string, field_id string, defect string, bminx double, bminy double, bminz double, bmaxx double, bmaxy double, bmaxz double, "
+    "voxx double, voxy double, voxz double, dimx int, dimy int, dimz int, layout string, block_dim int, halo int, blocks bigint, "
+    "band double, stride int, has_hessian boolean"
 )
-COLUMNS = ["kind", "field_id", "i", "j", "k", "bi", "bj", "bk", "rank", "branch_id", *VOXEL, "head", "detail"]
+HEAD_COLUMNS = [c.split()[0] for c in HEAD.split(", ")]
+PLACE = "field_id string, i int, j int, k int"
+SPEC = ["path", "field_id", "dimx", "dimy", "dimz", "layout", "block_dim", "stride", "has_hessian", "first", "count"]
+
+
+def _read(path: str, ranges: list[tuple[int, int]]) -> list[bytes]:
+    """The bytes at (offset, length) places of one file."""
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as f:
+        return [f.read_at(size, at) for at, size in ranges]
+
+
+def _sections(layout: str, cells: int, stride: int, hessian: bool) -> dict[str, tuple[str, int]]:
+    """The arrays of a dense file or of one block, in file order: element type and elements per cell."""
+    dense = layout.startswith("dense")
+    real = "<f8" if dense else "<f4"
+    out = {"phi": (real, 1), "n": (real, 3)}
+    if hessian:
+        out["h"] = (real, 6)
+    if dense:
+        out["w"] = (real, 3)
+    if stride:
+        out |= {"count": ("<u4" if dense else "u1", 1), "cphi": (real, stride), "cn": (real, 3 * stride), "cid": ("<i4", stride)}
+    return out
 
 
-def _frame(n: int, **cols) -> pd.DataFrame:
-    base = {c: cols.get(c) if cols.get(c) is not None else [None] * n for c in COLUMNS}
-    return pd.DataFrame(base, columns=COLUMNS)
+def _size(sections: dict[str, tuple[str, int]], cells: int) -> int:
+    return sum(np.dtype(t).itemsize * n * cells for t, n in sections.values())
 
 
-def _check(raw: bytes) -> dict:
-    """Header fields, or ValueError naming the defect."""
+def parse_header(raw: bytes, length: int) -> dict:
+    """Header fields of a file of ``length`` bytes, or ValueError naming the defect."""
     if len(raw) < HEADER.size:
         raise ValueError("short_header")
-    h = HEADER.unpack_from(raw)
-    if h[0] != MAGIC:
+    magic, version, *numbers, flags, reserved = HEADER.unpack_from(raw)
+    if magic != MAGIC:
         raise ValueError("bad_magic")
-    if h[1] != VERSION:
+    if version != VERSION:
         raise ValueError("bad_version")
-    flags, reserved = h[14], h[15]
-    layout = struct.unpack_from("<I", reserved, 0)[0]
-    sparse, cand = bool(flags & SPARSE), bool(flags & CANDIDATES)
-    expect = {(False, False): 1, (True, False): 2, (False, True): 3, (True, True): 4}[sparse, cand]
-    if layout != expect:
+    code = struct.unpack_from("<I", reserved)[0]
+    sparse, candidates = bool(flags & SPARSE), bool(flags & CANDIDATES)
+    if code != 1 + sparse + 2 * candidates:
         raise ValueError("layout_mismatch")
-    out = {
-        "dims": h[2:5], "bmin": h[5:8], "bmax": h[8:11], "vox": h[11:14], "sparse": sparse,
-        "cand": cand, "hess": bool(flags & HAS_HESSIAN), "layout": LAYOUTS[layout],
-        "block": 8, "halo": 0, "blocks": 0, "band": 0.0, "stride": 0,
-    }
+    names = [f"{q}{a}" for q in ("dim", "bmin", "bmax", "vox") for a in "xyz"]
+    out = dict(zip(names, numbers)) | {"layout": LAYOUTS[code], "has_hessian": bool(flags & HAS_HESSIAN), "block_dim": 8, "halo": 0, "blocks": 0, "band": 0.0, "stride": 0}
     if sparse:
-        out["block"], out["halo"], out["blocks"] = struct.unpack_from("<3I", reserved, 4)
+        out["block_dim"], out["halo"], out["blocks"] = struct.unpack_from("<3I", reserved, 4)
         out["band"] = struct.unpack_from("<d", reserved, 16)[0]
-        if out["block"] <= 0:
+        if not out["block_dim"]:
             raise ValueError("bad_block_dim")
-    if cand:
+    if candidates:
         out["stride"] = struct.unpack_from("<I", reserved, 24 if sparse else 4)[0]
         if not 0 < out["stride"] <= MAX_STRIDE:
             raise ValueError("bad_stride")
+    cells = out["block_dim"] ** 3 if sparse else out["dimx"] * out["dimy"] * out["dimz"]
+    body = _size(_sections(out["layout"], cells, out["stride"], out["has_hessian"]), cells)
+    if length < HEADER.size + (out["blocks"] * (16 + body) if sparse else body):
+        raise ValueError("short_payload")
     return out
 
 
-def _head_row(fid: str, h: dict) -> pd.DataFrame:
-    names = [f"{q}{a}" for q in ("bmin", "bmax", "vox", "dim") for a in "xyz"]
-    vals = [*map(float, h["bmin"]), *map(float, h["bmax"]), *map(float, h["vox"]), *map(int, h["dims"])]
-    head = dict(zip(names, vals)) | {
-        "layout": h["layout"], "block_dim": h["block"], "halo": h["halo"], "band": h["band"],
-        "stride": h["stride"], "has_hessian": h["hess"],
-    }
-    return _frame(1, kind=["field"], field_id=[fid], head=[head])
-
-
-def _emit(fid, idx, block, vals, counts, cphi, cn, cid) -> Iterator[pd.DataFrame]:
-    """Voxel and candidate frames of one run of voxels; ``idx`` is (n, 3)."""
-    n = len(idx)
-    b = idx // block
-    where = {"field_id": [fid] * n, **{c: idx[:, q].astype("int32") for q, c in enumerate("ijk")}, **{c: b[:, q].astype("int32") for q, c in enumerate(("bi", "bj", "bk"))}}
-    yield _frame(n, kind=["voxel"] * n, **where, **vals)
-    if counts is None:
+def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for path, length in zip(pdf["path"], pdf["length"]):
+            row = {"path": path, "field_id": path.rsplit("/", 1)[-1].rsplit(".", 1)[0]}
+            try:
+                row |= parse_header(_read(path, [(0, min(HEADER.size, length))])[0], length)
+            except ValueError as e:
+                row["defect"] = str(e)
+            rows.append(row)
+        yield pd.DataFrame(rows, columns=HEAD_COLUMNS, dtype=object)
+
+
+def _slice(spec, wanted: list[str]) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """(indices, arrays) of the cells of one slice; sparse fillers outside the grid are left out."""
+    nx, ny, nz = spec.dimx, spec.dimy, spec.dimz
+    dense = spec.layout.startswith("dense")
+    cells = nx * ny * nz if dense else spec.block_dim**3
+    sections = _sections(spec.layout, cells, spec.stride, spec.has_hessian)
+    wanted = [w for w in wanted if w in sections]
+    if dense:
+        at, places = HEADER.size, {}
+        for name, (t, n) in sections.items():
+            width = np.dtype(t).itemsize * n
+            places[name] = (at + spec.first * width, spec.count * width)
+            at += cells * width
+        raw = _read(spec.path, [places[w] for w in wanted])
+        lin = np.arange(spec.first, spec.first + spec.count)
+        yield np.stack([lin % nx, lin // nx % ny, lin // (nx * ny)], 1), {w: np.frombuffer(r, sections[w][0]).reshape(spec.count, -1) for w, r in zip(wanted, raw)}
         return
-    rank = np.arange(cphi.shape[1])
-    keep = rank[None, :] < counts[:, None]
-    v, r = np.nonzero(keep)
-    if len(v):
-        yield _frame(
-            len(v), kind=["candidate"] * len(v), field_id=[fid] * len(v),
-            **{c: idx[v, q].astype("int32") for q, c in enumerate("ijk")},
-            rank=r.astype("int32"), phi=cphi[v, r].astype("float64"), branch_id=cid[v, r].astype("int64"),
-            **{c: cn[v, r, q].astype("float64") for q, c in enumerate(("nx", "ny", "nz"))},
-        )
-
-
-def _columns(phi, n, h, w) -> dict:
-    out = {"phi": phi.astype("float64")}
-    for q, a in enumerate("xyz"):
-        out[f"n{a}"] = n[:, q].astype("float64")
-        if w is not None:
-            out[f"w{a}"] = w[:, q].astype("float64")
-    if h is not None:
-        for q, c in enumerate(("hxx", "hxy", "hxz", "hyy", "hyz", "hzz")):
-            out[c] = h[:, q].astype("float64")
+    width = 16 + _size(sections, cells)
+    raw = _read(spec.path, [(HEADER.size + spec.first * width, spec.count * width)])[0]
+    lin, d = np.arange(cells), spec.block_dim
+    local = np.stack([lin % d, lin // d % d, lin // (d * d)], 1)
+    for b in range(spec.count):
+        at = b * width
+        index = np.frombuffer(raw, "<i4", 3, at) * d + local
+        inside = ((index >= 0) & (index < (nx, ny, nz))).all(1)
+        at, arrays = at + 16, {}
+        for name, (t, n) in sections.items():
+            if name in wanted:
+                arrays[name] = np.frombuffer(raw, t, n * cells, at).reshape(cells, n)[inside]
+            at += np.dtype(t).itemsize * n * cells
+        yield index[inside], arrays
+
+
+def _each_slice(wanted: list[str], emit):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for spec in pdf.itertuples(index=False):
+                for index, arrays in _slice(spec, wanted):
+                    where = {"field_id": np.full(len(index), spec.field_id, object)} | {c: index[:, q].astype("int32") for q, c in enumerate("ijk")}
+                    yield emit(spec, where, arrays)
+
+    return run
+
+
+def _voxel_rows(spec, where, arrays) -> pd.DataFrame:
+    out = pd.DataFrame(where)
+    for q, c in enumerate(("bi", "bj", "bk")):
+        out[c] = (where["ijk"[q]] // spec.block_dim).astype("int32")
+    for name, columns in (("phi", ["phi"]), ("n", ["nx", "ny", "nz"]), ("h", HESSIAN), ("w", ["wx", "wy", "wz"])):
+        for q, c in enumerate(columns):
+            out[c] = arrays[name][:, q].astype("float64") if name in arrays else np.full(len(out), np.nan)
     return out
 
 
-def _dense(fid: str, raw: bytes, h: dict) -> Iterator[pd.DataFrame]:
-    nx, ny, nz = h["dims"]
-    total, s = nx * ny * nz, h["stride"]
-    view, at = memoryview(raw), HEADER.size
-
-    def take(dtype, *shape):
-        nonlocal at
-        count = int(np.prod(shape))
-        size = count * np.dtype(dtype).itemsize
-        if at + size > len(raw):
-            raise ValueError("short_payload")
-        out = np.frombuffer(view, dtype, count, at).reshape(shape)
-        at += size
-        return out
-
-    phi, n = take("<f8", total), take("<f8", total, 3)
-    hess = take("<f8", total, 6) if h["hess"] else None
-    w = take("<f8", total, 3)
-    counts = take("<u4", total) if s else None
-    cphi = take("<f8", total, s) if s else None
-    cn = take("<f8", total, s, 3) if s else None
-    cid = take("<i4", total, s) if s else None
-    if s and (counts > s).any():
-        raise ValueError("bad_candidate_count")
-    for lo in range(0, total, CHUNK):
-        part = slice(lo, min(lo + CHUNK, total))
-        lin = np.arange(part.start, part.stop)
-        idx = np.stack([lin % nx, (lin // nx) % ny, lin // (nx * ny)], axis=1)
-        cut = lambda a: None if a is None else a[part]
-        yield from _emit(fid, idx, h["block"], _columns(phi[part], n[part], cut(hess), w[part]), cut(counts), cut(cphi), cut(cn), cut(cid))
-
-
-def _sparse(fid: str, raw: bytes, h: dict) -> Iterator[pd.DataFrame]:
-    d, s = h["block"], h["stride"]
-    cells = d**3
-    at = HEADER.size
-    lin = np.arange(cells)
-    local = np.stack([lin % d, (lin // d) % d, lin // (d * d)], axis=1)
-    dims = np.array(h["dims"])
-
-    def take(dtype, *shape):
-        nonlocal at
-        count = int(np.prod(shape))
-        size = count * np.dtype(dtype).itemsize
-        if at + size > len(raw):
-            raise ValueError("short_payload")
-        out = np.frombuffer(raw, dtype, count, at).reshape(shape)
-        at += size
-        return out
-
-    for _ in range(h["blocks"]):
-        b = take("<i4", 4)[:3]
-        phi, n = take("<f4", cells), take("<f4", cells, 3)
-        hess = take("<f4", cells, 6) if h["hess"] else None
-        counts = take("u1", cells) if s else None
-        cphi = take("<f4", cells, s) if s else None
-        cn = take("<f4", cells, s, 3) if s else None
-        cid = take("<i4", cells, s) if s else None
-        if s and (counts > s).any():
-            raise ValueError("bad_candidate_count")
-        idx = b[None, :] * d + local
-        # cells of an edge block that lie outside the grid hold fillers: no row
-        ok = ((idx >= 0) & (idx < dims)).all(axis=1)
-        cut = lambda a: None if a is None else a[ok]
-        yield from _emit(fid, idx[ok], d, _columns(phi[ok], n[ok], cut(hess), None), cut(counts), cut(cphi), cut(cn), cut(cid))
-
-
-def _import(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, raw in zip(pdf["path"], pdf["content"]):
-            fid = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            try:
-                h = _check(raw)
-                yield _head_row(fid, h)
-                yield from (_sparse if h["sparse"] else _dense)(fid, raw, h)
-            except ValueError as e:
-                yield _frame(1, kind=["defect"], field_id=[fid], detail=[str(e)])
+def _candidate_rows(spec, where, arrays) -> pd.DataFrame:
+    cell, rank = np.nonzero(np.arange(spec.stride) < arrays["count"])
+    out = pd.DataFrame({c: v[cell] for c, v in where.items()})
+    normal = arrays["cn"].reshape(-1, spec.stride, 3)
+    values = {"phi": arrays["cphi"][cell, rank], **{f"n{a}": normal[cell, rank, q] for q, a in enumerate("xyz")}}
+    return out.assign(rank=rank.astype("int32"), **{c: v.astype("float64") for c, v in values.items()}, branch_id=arrays["cid"][cell, rank].astype("int64"))
+
+
+def _count_defects(spec, where, arrays) -> pd.DataFrame:
+    bad = bool((arrays["count"] > spec.stride).any())
+    return pd.DataFrame({"field_id": np.full(int(bad), spec.field_id, object)})
+
+
+def _slices(heads: DataFrame) -> DataFrame:
+    """Slices of the files: first voxel or block, and how many."""
+    dense = F.col("layout").startswith("dense")
+    total = F.when(dense, F.col("dimx").cast("bigint") * F.col("dimy") * F.col("dimz")).otherwise(F.col("blocks"))
+    step = F.when(dense, F.lit(SLICE)).otherwise(F.greatest(F.lit(1), F.floor(SLICE / F.pow("block_dim", F.lit(3))))).cast("bigint")
+    d = heads.withColumns({"_total": total, "_step": step}).where("_total > 0")
+    d = d.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_total") - 1, F.col("_step"))))
+    d = d.withColumn("count", F.least(F.col("_step"), F.col("_total") - F.col("first")))
+    return spread(d.select(*SPEC), "path", "first")
 
 
 def import_field_files(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """``fields``, ``voxels``, ``candidates`` and ``defects`` of all files under a glob.
 
-    One file is one task row (the format holds at most 2^31 voxels and is not splittable); rows
-    leave the reader in chunks. A file with a bad header or payload becomes a defect row, and
-    none of its voxels are kept.
+    A file with a bad header, too few bytes, or a candidate count above its stride becomes a defect
+    row, and none of its rows are kept. Values that a layout does not store are NULL.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(_import, SCHEMA)
-    defects = rows.filter("kind = 'defect'").select("field_id", F.col("detail").alias("kind"))
-    good = rows.join(defects.select("field_id"), "field_id", "left_anti")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    heads = cut_lineage(files.mapInPandas(_headers, HEAD))
+    sound = heads.where("defect is null")
+    counted = _slices(sound.where("stride > 0")).mapInPandas(_each_slice(["count"], _count_defects), "field_id string")
+    miscounted = cut_lineage(counted.distinct())
+    good = sound.join(miscounted, "field_id", "left_anti")
+    reals = "rank int, phi double, nx double, ny double, nz double, branch_id bigint"
+    voxels = _slices(good).mapInPandas(_each_slice(["phi", "n", "h", "w"], _voxel_rows), f"{PLACE}, bi int, bj int, bk int, " + ", ".join(f"{c} double" for c in VOXEL))
+    optional = {c: F.when(~F.isnan(c), F.col(c)) for c in (*HESSIAN, "wx", "wy", "wz")}
     return {
-        "fields": good.filter("kind = 'field'").select("field_id", "head.*"),
-        "voxels": good.filter("kind = 'voxel'").select("field_id", "i", "j", "k", "bi", "bj", "bk", *VOXEL),
-        "candidates": good.filter("kind = 'candidate'").select("field_id", "i", "j", "k", "rank", "phi", "nx", "ny", "nz", "branch_id"),
-        "defects": defects,
+        "fields": good.drop("path", "defect", "blocks"),
+        "voxels": voxels.withColumns(optional),
+        "candidates": _slices(good.where("stride > 0")).mapInPandas(_each_slice(["count", "cphi", "cn", "cid"], _candidate_rows), f"{PLACE}, {reals}"),
+        "defects": heads.where("defect is not null").select("field_id", F.col("defect").alias("kind")).unionByName(miscounted.select("field_id", F.lit("bad_candidate_count").alias("kind"))),
     }

@@ -38,7 +38,7 @@ def parse_surfaces(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = lines.withColumn("_txt", strip_comment(F.col("line")))
     d = d.withColumn("_tok", F.split("_txt", " ")).withColumn("_t", F.col("_tok")[0])
     blank = F.col("_txt") == ""
-    nums = F.transform(F.slice("_tok", 2, 1000), lambda s: s.try_cast("double"))
+    nums = F.transform(F.slice("_tok", 2, F.size("_tok")), lambda s: s.try_cast("double"))
     d = d.withColumns({"_num": nums, "_blank": blank})
     d = running(
         d, ["file"], ORDER, F.col("block"),

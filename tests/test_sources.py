@@ -205,7 +205,9 @@ def _sparse(stride=0, n=10, block=8):
     return out
 
 
-def test_field_files(spark, scratch):
+@pytest.mark.parametrize("step", [65536, 100])
+def test_field_files(spark, scratch, step, monkeypatch):
+    monkeypatch.setattr(field_files, "SLICE", step)
     files = {
         "dense": _dense(), "cand": _dense(2), "sparse": _sparse(), "spcand": _sparse(3),
         "magic": _dense(magic=b"XXXX"), "version": _dense(version=99), "short": _dense()[:5000], "tiny": b"SDFO",
@@ -227,6 +229,9 @@ def test_field_files(spark, scratch):
     assert (x.phi, x.ny, x.hyz, x.wz) == (lin, 3 * lin + 1, 6 * lin + 4, -(3 * lin + 2))
     c = {k: v for k, v in r["candidates"].groupBy("field_id").count().collect()}
     assert c["cand"] == sum(i % 3 for i in range(512))
+    x = r["candidates"].filter("field_id = 'cand' and i = 5 and j = 0 and k = 0 and rank = 1").first()
+    assert (x.phi, x.ny, x.branch_id) == (11.0, 3 * 11 + 1, 11)
+    assert r["voxels"].filter("field_id = 'sparse' and (hxx is not null or wx is not null)").count() == 0
 
 
 def test_store(spark, scratch):
