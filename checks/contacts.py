@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from gapfield.functions import analytic, pose, timefn
 from gapfield.functions.vec import AXES, M3, V3
-from gapfield.operators import contact, mesh, model, phases
+from gapfield.operators import contact, mesh, model, phases, signals
 from gapfield.operators.ordered import bucket_of
 from gapfield.plans import evaluate
 from gapfield.session import spread
@@ -417,4 +415,21 @@ def merged_bodies(spark, sf):
     return rounded(rounded(rounded(d, ["rx", "ry", "rz"]), ["mass"], 4), ["i00", "i01"], 3)
 
 
-PI = math.pi
+
+
+@query("stacked_sweeps", "SELECT p_type AS series, CAST(p_size AS BIGINT) AS size, round(avg(p_retailprice), 4) + 0.0 AS price, NULL::DOUBLE AS high FROM part GROUP BY ALL UNION ALL SELECT p_brand, CAST(-1 AS BIGINT), round(avg(p_retailprice), 4) + 0.0, round(max(p_retailprice), 4) + 0.0 FROM part GROUP BY ALL")
+def stacked_sweeps(spark, sf):
+    """Result tables of two sweeps with different columns, one under the other."""
+    p = T.load(spark, sf, "part")
+    a = p.groupBy(F.col("p_type").alias("series"), F.col("p_size").cast("bigint").alias("size")).agg(F.avg("p_retailprice").alias("price"))
+    b = p.groupBy(F.col("p_brand").alias("series")).agg(F.avg("p_retailprice").alias("price"), F.max("p_retailprice").cast("double").alias("high"))
+    return rounded(signals.stack_sweeps(a, b).select("series", F.coalesce("size", F.lit(-1)).alias("size"), "price", "high"), ["price", "high"], 4)
+
+
+@query("local_points", S.with_(_cust) + "SELECT c_custkey, " + ", ".join(S.r6(e, f"q{a}") for a, e in zip(X, S.matvec(S.transpose(S.mat("r")), S.sub(S.vec("p"), S.vec("r"))))) + " FROM cr")
+def local_points(spark, sf):
+    """A world point of every customer in the axes of the customer's body."""
+    poses, frames, _, _ = customer_frames(spark, sf)
+    d = poses.join(frames.select(F.col("frame_id").alias("c_custkey"), "body_id", "px", "py", "pz"), "body_id")
+    q = pose.to_local(V3.of("p"), V3.of("r"), M3.of("r"))
+    return rounded(d.select("c_custkey", *q.cols("q")), [f"q{a}" for a in AXES])

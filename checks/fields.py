@@ -350,3 +350,11 @@ bq AS (SELECT field_id, bi, bj, bk, CAST(q AS BIGINT) AS qid FROM ab, range(100)
 def block_points(spark, sf):
     v = T.narrow_band(T.sphere_voxels(spark, sf, hess=False))
     return rounded(points.block_points(v, T.sphere_fields(spark, sf), 100), ["x", "y", "z"])
+
+
+@query("voxels_in_blocks", S.with_(S.SPHERES, _band) + f"SELECT v.field_id, i, j, k, {S.r6('phi')} FROM vox v JOIN act a ON v.field_id = a.field_id AND v.bi = a.bi AND v.bj = a.bj AND v.bk = a.bk WHERE v.bk = 0")
+def voxels_in_blocks(spark, sf):
+    """The voxels of the active blocks of the lowest layer."""
+    v = T.sphere_voxels(spark, sf, hess=False)
+    blocks = T.narrow_band(v).filter("bk = 0").select("field_id", "bi", "bj", "bk").distinct()
+    return rounded(Q.in_blocks(v, blocks).select("field_id", "i", "j", "k", "phi"), ["phi"])

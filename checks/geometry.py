@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gapfield.functions import grid
-from gapfield.functions.triangle import branch_id, closest_point, edge_dots
+from gapfield.functions.triangle import RAY_DIR, box_ray, branch_id, closest_point, edge_dots
 from gapfield.functions.vec import AXES, V3, unit
 from gapfield.operators import bins, candidates, mesh, nearest
 from gapfield.sources import model_text, obj
@@ -266,3 +266,31 @@ def candidate_normals(spark, sf):
     t = t.withColumns((b - a).cross(c - a).named("f"))
     t = t.withColumn("fl", V3.of("f").norm())
     return rounded(t.select("tri_id", *unit(V3.of("f"), F.col("fl"), V3(0.0, 0.0, 1.0)).cols("n")), ["nx", "ny", "nz"])
+
+
+@query("grid_inverse", S.with_(S.PTS, "u AS (SELECT qid, " + ", ".join(f"CAST(round(({a}+5e-1)/4e-2-5e-1) AS BIGINT) AS {i}" for a, i in zip(X, "ijk")) + " FROM pts)") + """SELECT qid, i, j, k, i%8 AS li, j%8 AS lj, k%8 AS lk, i%8 + 8*(j%8 + 8*(k%8)) AS local FROM u WHERE i BETWEEN 0 AND 23 AND j BETWEEN 0 AND 19 AND k BETWEEN 0 AND 15""")
+def grid_inverse(spark, sf):
+    """Linear indices back to voxels, and the place of a voxel in its block."""
+    spec = {f"{q}{a}": F.lit(v) for q, v in (("bmin", -0.5), ("vox", 0.04)) for a in AXES} | {f"dim{a}": F.lit(n) for a, n in zip(AXES, (24, 20, 16))}
+    d = T.mesh_points(spark, sf).withColumns(spec)
+    d = d.withColumns(dict(zip(("_i", "_j", "_k"), grid.nearest_index(V3.of()))))
+    at = [F.col(c) for c in ("_i", "_j", "_k")]
+    d = d.filter(grid.in_bounds(at)).withColumn("lin", grid.lin(*at))
+    d = d.withColumns(dict(zip("ijk", grid.from_lin(F.col("lin")))))
+    idx = [F.col(c) for c in "ijk"]
+    local = grid.block_local(idx, 8)
+    return d.select("qid", *idx, *[c.alias(n) for c, n in zip(local, ("li", "lj", "lk"))], grid.local_index(local, 8).alias("local"))
+
+
+_slab = " ".join(f", (lo{a}-{a})/{d!r}e0 AS s{a}, (hi{a}-{a})/{d!r}e0 AS e{a}" for a, d in zip(X, RAY_DIR))
+
+
+@query("box_rays", S.with_(S.PTS, S.TRI, f"""bx AS (SELECT mesh_id, tri_id, {", ".join(f"least(a{a}, e{a}, c{a}) AS lo{a}, greatest(a{a}, e{a}, c{a}) AS hi{a}" for a in X)} FROM tri),
+t AS (SELECT qid, x, y, z{_slab} FROM pts p JOIN bx b ON p.mesh_id = b.mesh_id),
+h AS (SELECT qid, greatest(0e0, {", ".join(f"least(s{a}, e{a})" for a in X)}) AS t0, least({", ".join(f"greatest(s{a}, e{a})" for a in X)}) AS t1 FROM t)""") + "SELECT qid, CAST(count(*) FILTER (WHERE t0 <= t1) AS BIGINT) AS boxes FROM h GROUP BY qid")
+def box_rays(spark, sf):
+    """How many triangle boxes of its mesh the ray of every point enters."""
+    b = T.tris(spark, sf).select("mesh_id", *[f"{q}{a}" for q in ("bmin", "bmax") for a in AXES])
+    d = T.mesh_points(spark, sf).join(b, "mesh_id")
+    hit = box_ray(V3.of(), V3.of("bmin"), V3.of("bmax"))
+    return d.groupBy("qid").agg(F.count_if(hit).alias("boxes"))

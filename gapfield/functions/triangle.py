@@ -36,7 +36,6 @@ def edge_dots(df: DataFrame) -> DataFrame:
     return out.withColumns({"uu": u.dot(u), "uw": u.dot(w), "ww": w.dot(w)})
 
 
-EDGE_COLS = ["ax", "ay", "az", "ux", "uy", "uz", "wx", "wy", "wz", "uu", "uw", "ww"]
 
 
 def closest_weights(df: DataFrame, p: V3, prefix: str = "") -> DataFrame:
@@ -199,7 +198,7 @@ def box_overlaps(alo: V3, ahi: V3, blo: V3, bhi: V3) -> Column:
 
 
 __all__ = [
-    "EDGE_COLS", "RAY_DIR", "barycentric", "box_dist2", "box_overlaps", "box_ray",
+    "RAY_DIR", "barycentric", "box_dist2", "box_overlaps", "box_ray",
     "branch_id", "closest_point", "closest_weights", "edge_dots", "face_normal",
     "ray_hits", "ray_plane_axes", "unit",
 ]

@@ -31,11 +31,6 @@ def write_field(
         c.write.mode(mode).partitionBy("field_id").parquet(f"{path}/candidates")
 
 
-def write_field_table(voxels: DataFrame, table: str, buckets: int) -> None:
-    """Voxels as a table bucketed by block: queries on it do not shuffle the voxel side."""
-    voxels.write.mode("overwrite").bucketBy(buckets, "field_id", "i", "j", "k").sortBy("field_id", "k", "j", "i").saveAsTable(table)
-
-
 def read_field(spark: SparkSession, path: str, field_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``fields`` and ``voxels``; one field id prunes to its folder."""
     f = spark.read.parquet(f"{path}/fields")
