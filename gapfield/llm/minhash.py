@@ -7,10 +7,12 @@ node. Bands of four registers are hashed; nodes that share a band are candidates
 estimate from equal registers, corrected for the collisions that registers of sets of these sizes
 have by chance, discards candidates far below the threshold; the rest is confirmed on full sets.
 
-A large group of near copies would have a square of pairs. So every node first meets one hub of its
-bands, then the hubs of all its bands, and only nodes of a band that are still in different
-components meet one by one, the smaller components against all. Pairs inside a component are never
-formed, and components come out as if all candidate pairs had been confirmed.
+Nodes that bands connect, directly or over others, form a candidate group; groups come from one edge
+per node and band, and only groups are contracted, not their pairs. Every node travels once to its
+group, in piles of small groups; a group of more than ``BLOCK_NODES`` is cut into blocks, and every
+two blocks meet in a task of their own. A task looks at the pairs that share a band, each once, most
+similar first, leaves out those already connected, and passes on only the links that connected
+something. So no pair is ever a row, and components come out as if all candidates were confirmed.
 
 Defined results: null or empty text, or text without words, has an empty set and links with
 nothing; with fewer than five words the whole sequence is the one shingle; rows with equal ids
@@ -38,6 +40,9 @@ REGISTERS, BAND = 128, 4
 _BUCKET_BITS, _MANTISSA = 7, 10
 # Standard errors that an estimate may lie below the threshold.
 SLACK = 5.0
+# A task's groups hold about so many bytes of sets; a group of more nodes than a block is cut.
+PILE_BYTES = 8 << 20
+BLOCK_NODES = 1024
 # Up to so many ids of candidate documents (16 bytes each) go to the texts; beyond, both are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -106,14 +111,19 @@ def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """Hash of every band of every sketch; equal registers in different bands give different hashes."""
+    keys = np.ascontiguousarray(sketches).view(np.uint64)
+    return mix(keys + mix(np.arange(1, keys.shape[1] + 1, dtype=np.uint64)))
+
+
 def bands(nodes: DataFrame) -> DataFrame:
     """(node, band) rows. Sets of one or two shingles have none: only an equal set is similar enough."""
 
     def run(batches):
         for b in batches:
             r = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            keys = np.ascontiguousarray(r).view(np.uint64)
-            keys = mix(keys + mix(np.arange(1, keys.shape[1] + 1, dtype=np.uint64)))
+            keys = band_keys(r)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1])), pa.array(keys.ravel().view(np.int64))], ["node", "band"])
 
     return nodes.where("n_shingles > 2").select("node", "sketch").mapInArrow(run, "node bigint, band bigint")
@@ -139,37 +149,65 @@ def promising(same: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: int
     return (estimate >= t - slack) & (100 * np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b))
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose corrected estimate leaves the threshold possible."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5))
-                ok = promising((x == y).sum(1), b.column(2).to_numpy(), b.column(3).to_numpy(), threshold)
-                yield b.select([0, 1]).filter(pa.array(ok))
-
-    return wide.mapInArrow(run, "a bigint, b bigint")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b")
-
-    def run(batches):
-        for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                s = np.sort(np.concatenate([x, y]))
-                common = int((s[1:] == s[:-1]).sum())
-                ok[i] = 100 * common >= threshold * (len(x) + len(y) - common)
-            yield b.select([0, 1]).filter(pa.array(ok))
-
-    return wide.mapInArrow(run, "a bigint, b bigint")
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _candidates(keys: np.ndarray, block: np.ndarray):
+    """Pairs of rows with a band in common, each once; of two blocks only pairs across them."""
+    cross = len(np.unique(block)) > 1
+    rows, width = keys.shape
+    flat = keys.ravel()
+    order = np.argsort(flat, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1], [True]]))
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        if hi - lo < 2:
+            continue
+        members, band = np.divmod(order[lo:hi], width)
+        for k in range(0, len(members), 256):
+            a, b = np.meshgrid(members[k : k + 256], members, indexing="ij")
+            fit = (a < b) & (block[a] != block[b]) if cross else a < b
+            a, b = a[fit], b[fit]
+            first = (keys[a] == keys[b]).argmax(1) == band[0]
+            yield a[first], b[first]
+
+
+def links(nodes: np.ndarray, block: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Links among some nodes that connect all that their candidate pairs connect."""
+    n = np.array([len(x) for x in sets])
+    label = np.arange(len(nodes))
+    found = []
+    keys = band_keys(sketches)
+    for a, b in _candidates(keys, block):
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        same = np.zeros(len(a), np.int64)
+        for k in range(0, len(a), 1 << 15):
+            part = slice(k, k + (1 << 15))
+            same[part] = (sketches[a[part]] == sketches[b[part]]).sum(1)
+        good = promising(same, n[a], n[b], threshold) if len(a) else np.zeros(0, bool)
+        order = np.argsort(-same[good], kind="stable")
+        for x, y in zip(a[good][order].tolist(), b[good][order].tolist(), strict=True):
+            if label[x] == label[y]:
+                continue
+            common = _common(sets[x], sets[y])
+            if 100 * common >= threshold * (n[x] + n[y] - common):
+                found.append((int(nodes[x]), int(nodes[y])))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def group_links(grouped: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) links from rows (pile, low, high, block, node, sketch, hashes) that meet by the first three."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+        got = links(table.column("node").to_numpy(), table.column("block").to_numpy(), sketches, sets, threshold)
+        return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
+
+    return grouped.groupBy("pile", "low", "high").applyInArrow(run, "a bigint, b bigint")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -188,17 +226,6 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
 
 
-def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Band rows with the component of each node, of bands with more than one component."""
-    labelled = shared.join(roots, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    return labelled.join(mixed, "band")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = staged(signatures(docs))
@@ -206,27 +233,20 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     nodes = staged(nodes)
     every = bands(nodes)
     hubs = every.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("band", "hub")
-    shared = staged(every.join(hubs, "band"))
-    one = estimated(shared.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")), nodes, threshold)
-    wanted = shared.select("node").distinct().join(nodes.where("doc_id is not null").select("node", "doc_id"), "node")
-    sets = staged(full_sets(docs, wanted))
-    roots = components(confirmed(one, sets, threshold))
-
-    def merge(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        links = confirmed(estimated(pairs, nodes, threshold), sets, threshold)
-        return components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
-    # every node against the hubs of its bands, where they are in other components
-    open_ = _across(shared.select("node", "band"), roots)
-    hub = open_.groupBy("band").agg(F.min(F.struct("root", "node")).alias("hub"))
-    roots = merge(_ordered(open_.join(hub, "band").where("root <> hub.root").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))), roots)
-    # what is still apart: every component of a band but its largest, against the whole band
-    open_ = staged(_across(shared.select("node", "band"), roots))
-    sizes = open_.groupBy("band", "root").agg(F.count("node").alias("size"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top")).select("band", F.col("top.root").alias("top"))
-    few = open_.join(largest, "band").where("root <> top").select("band", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    pairs = few.join(open_.withColumnRenamed("node", "b"), "band").where("root_a <> root").select("a", "b")
-    roots = merge(_ordered(pairs), roots)
+    groups = components(every.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    wanted = staged(groups.join(nodes.where("doc_id is not null").select("node", "doc_id", "sketch", "n_shingles"), "node"))
+    sets = full_sets(docs, wanted)
+    # small groups share piles; a large one is a pile of its own, cut into blocks that meet two by two
+    sizes = wanted.groupBy("root").agg(F.count("node").alias("size"), F.sum("n_shingles").alias("weight"))
+    piles = max(1, -(-(sizes.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0] * 8) // PILE_BYTES))
+    blocks = F.ceil(F.col("size") / BLOCK_NODES)
+    dealt = wanted.select("node", "root", "sketch").join(sizes, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    pile = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod("root", F.lit(piles)))
+    dealt = dealt.select("node", "sketch", "block", pile.alias("pile"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    single = F.col("low") == F.col("high")
+    found = group_links(dealt.join(sets, "node").withColumn("block", F.when(single, F.lit(0)).otherwise(F.col("block"))), threshold)
+    roots = components(found)
 
     own = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
