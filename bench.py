@@ -15,11 +15,15 @@ from pyspark.sql import SparkSession  # noqa: E402
 from checks.all import QUERIES  # noqa: E402
 from gapfield.session import configured  # noqa: E402
 
+# The folder that executors share; local runs make one of their own.
+SHARED = os.environ.get("BENCH_SHARED")
+
 HEADLINE = (
     "tri_attributes", "nearest_triangle", "signed_distance", "candidate_topk", "points_in_radius", "box_overlap_pairs",
-    "build_dense", "voxel_hessian", "query_first", "query_second", "query_trilinear", "query_tricubic",
-    "cell_table_trilinear", "query_candidates", "contact_wrench", "body_loads", "evaluate_contacts", "torsion_plane",
+    "nearest_triangle_fine", "build_dense", "build_sparse", "build_candidates", "voxel_hessian", "query_first", "query_second", "query_trilinear", "query_tricubic",
+    "cell_table_trilinear", "repeated_tricubic", "query_candidates", "contact_wrench", "body_loads", "evaluate_contacts", "evaluate_measures", "torsion_plane",
     "contact_phases", "crossings", "signal_align", "signal_report", "merged_bodies", "obj_roundtrip", "entity_attrs",
+    "field_file_import", "stream_phases",
 )
 
 
@@ -35,6 +39,8 @@ def main() -> None:
         .config("spark.driver.memory", os.environ.get("BENCH_MEM", "16g"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     )
+    if SHARED:
+        builder = builder.config("spark.checkpoint.dir", SHARED)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()

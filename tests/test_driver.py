@@ -25,6 +25,13 @@ def test_every_query_has_an_oracle_but_the_listed():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_queries_without_the_text_subpackage(monkeypatch):
+    import importlib.util
+
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None)
+    assert entry.queries() == entry.QUERIES and entry.oracle_sql() == entry.ORACLES
+
+
 def test_entry(spark):
     d = entry.entry(spark)
     assert d.count() == 1500 and d.columns[:3] == ["qid", "tri_id", "hits"]
