@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gapfield.functions import analytic, pose, timefn
 from gapfield.functions.vec import AXES, M3, V3
 from gapfield.operators import contact, mesh, model, phases, signals
-from gapfield.operators.ordered import bucket_of
+from gapfield.operators.ordered import bucket_of, running
 from gapfield.plans import evaluate
 from gapfield.session import spread
 from gapfield.sources.shapes import annular_sectors
@@ -398,15 +398,14 @@ it AS (SELECT k.keep, sum(1e0 + m*((ry-cy)*(ry-cy)+(rz-cz)*(rz-cz))) AS i00, sum
 @query("merged_bodies", S.with_(_mb) + f"SELECT cm.keep AS body_id, {S.r6('mt', 'mass', 4)}, {S.r6('cx', 'rx')}, {S.r6('cy', 'ry')}, {S.r6('cz', 'rz')}, {S.r6('i00', 'i00', 3)}, {S.r6('i01', 'i01', 3)} FROM cm JOIN it ON cm.keep = it.keep")
 def merged_bodies(spark, sf):
     """Suppliers of a nation chained by fixed joints become one body."""
-    from pyspark.sql import Window
-
     s = T.load(spark, sf, "supplier")
     one = {f"{q}{r}{c}": F.lit(float(r == c)) for q in "ri" for r in range(3) for c in range(3)}
     b = s.select(F.lit("m").alias("file"), F.col("s_suppkey").alias("body_id"), F.col("s_name").alias("name"), (F.abs("s_acctbal") + 1.0).alias("mass"), F.lit(False).alias("fixed"), *[c.alias(f"r{a}") for a, c in T.scatter("s_acctbal", 2.0, -1.0).items()]).withColumns(one)
     zero = {f"o{r}{c}": F.lit(float(r == c)) for r in range(3) for c in range(3)}
     frames = b.select("file", F.col("body_id").alias("frame_id"), F.col("name"), "body_id", *[F.lit(0.0).alias(f"p{a}") for a in X]).withColumns(zero)
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    j = s.select(F.lit("m").alias("file"), F.col("s_suppkey").alias("frame_i"), F.lag("s_suppkey").over(w).alias("frame_j")).filter("frame_j is not null")
+    # the supplier before in the same nation, found in buckets of the key
+    chain = running(s.select("s_nationkey", "s_suppkey"), ["s_nationkey"], ["s_suppkey"], bucket_of("s_suppkey", 1000.0), prev={"frame_j": F.col("s_suppkey")})
+    j = chain.select(F.lit("m").alias("file"), F.col("s_suppkey").alias("frame_i"), "frame_j").filter("frame_j is not null")
     j = j.select("file", F.col("frame_i").alias("joint_id"), F.lit("j").alias("name"), F.lit("FIXED").alias("type"), "frame_i", "frame_j", F.lit("z").alias("axis"))
     contacts = b.select("file", F.col("body_id").alias("cp_id"), F.col("body_id").alias("body_a"), F.col("body_id").alias("body_b"))
     surfaces = b.select("file", F.col("body_id").alias("surface_id"), "body_id")

@@ -188,10 +188,18 @@ def model_import(spark, sf):
 def field_store(spark, sf):
     """Fields written in block order and read back with a filter on the block."""
     root = shared_folder(spark)
-    store.write_field(T.sphere_fields(spark, sf).withColumn("field_id", F.pmod("field_id", F.lit(16))), T.sphere_voxels(spark, sf, hess=False).withColumnRenamed("field_id", "sphere").withColumn("field_id", F.pmod("sphere", F.lit(16))), root, mode="overwrite")
+    store.write_field(T.sphere_fields(spark, sf), T.sphere_voxels(spark, sf, hess=False), root, mode="overwrite")
     _, v = store.read_field(spark, root)
-    d = v.filter("bk = 1").select(F.col("sphere").alias("field_id"), "i", "j", "k", "phi", "nx", "ny", "nz")
-    return rounded(d, ["phi", "nx", "ny", "nz"])
+    return rounded(v.filter("bk = 1").select("field_id", "i", "j", "k", "phi", "nx", "ny", "nz"), ["phi", "nx", "ny", "nz"])
+
+
+@query("field_store_candidates", S.with_(S.SPHERES) + f"SELECT field_id, i, j, k, r AS rank, {S.r6('phi - r*5e-2', 'phi')} FROM vox, range(3) g(r) WHERE stride > 0 AND (i+j+k) % 3 <> 0")
+def field_store_candidates(spark, sf):
+    """Candidates written beside their fields and read back."""
+    root = shared_folder(spark)
+    store.write_field(T.sphere_fields(spark, sf), T.sphere_voxels(spark, sf, hess=False), root, T.sphere_candidates(spark, sf), mode="overwrite")
+    c = store.read_candidates(spark, root).select("field_id", "i", "j", "k", F.col("rank").cast("bigint").alias("rank"), "phi")
+    return rounded(c, ["phi"])
 
 
 @query("signal_files", S.with_(S.EV) + f"SELECT 'run' AS scenario, 'Event_' || event_type || '_value' AS signal, {S.r6('t', 'time', 4)}, {S.r6('value')} FROM ev")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_ORDER = ("bk", "bj", "bi", "k", "j", "i")
@@ -20,24 +20,47 @@ def block_order(voxels: DataFrame) -> DataFrame:
     )
 
 
+#: Folders that the fields of a store are dealt to; their number does not grow with the fields.
+FOLDERS = 64
+FOLDER = "field_folder"
+
+
+def _folder(field_id: Column) -> Column:
+    return F.pmod(F.xxhash64(field_id.cast("string")), F.lit(FOLDERS)).cast("int")
+
+
 def write_field(
     fields: DataFrame, voxels: DataFrame, path: str, candidates: DataFrame | None = None, mode: str = "append"
 ) -> None:
-    """``path/fields``, ``path/voxels/field_id=...`` and ``path/candidates/field_id=...``."""
+    """``path/fields``, ``path/voxels`` and ``path/candidates``, dealt to folders by hashed field id."""
     fields.write.mode(mode).parquet(f"{path}/fields")
-    block_order(voxels).write.mode(mode).partitionBy("field_id").parquet(f"{path}/voxels")
+    dealt = block_order(voxels).withColumn(FOLDER, _folder(F.col("field_id")))
+    dealt.write.mode(mode).partitionBy(FOLDER).parquet(f"{path}/voxels")
     if candidates is not None:
         c = candidates.repartitionByRange("field_id", "k", "j", "i").sortWithinPartitions("field_id", "k", "j", "i", "rank")
-        c.write.mode(mode).partitionBy("field_id").parquet(f"{path}/candidates")
+        c.withColumn(FOLDER, _folder(F.col("field_id"))).write.mode(mode).partitionBy(FOLDER).parquet(f"{path}/candidates")
+
+
+def _read(spark: SparkSession, path: str, field_id) -> DataFrame:
+    d = spark.read.parquet(path)
+    if field_id is None:
+        return d.drop(FOLDER)
+    # the folder prunes the files, the sorted id the row groups in them
+    folder = spark.range(1).select(_folder(F.lit(field_id))).first()[0]
+    return d.filter((F.col(FOLDER) == folder) & (F.col("field_id") == F.lit(field_id))).drop(FOLDER)
 
 
 def read_field(spark: SparkSession, path: str, field_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``fields`` and ``voxels``; one field id prunes to its folder."""
     f = spark.read.parquet(f"{path}/fields")
-    v = spark.read.parquet(f"{path}/voxels").withColumn("field_id", F.col("field_id").cast(f.schema["field_id"].dataType))
     if field_id is not None:
-        f, v = f.filter(F.col("field_id") == field_id), v.filter(F.col("field_id") == field_id)
-    return f, v
+        f = f.filter(F.col("field_id") == F.lit(field_id))
+    return f, _read(spark, f"{path}/voxels", field_id)
+
+
+def read_candidates(spark: SparkSession, path: str, field_id: str | None = None) -> DataFrame:
+    """The candidates of a store; one field id prunes to its folder."""
+    return _read(spark, f"{path}/candidates", field_id)
 
 
 def append_rows(q: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -243,7 +243,7 @@ def test_store(spark, scratch):
     store.write_field(fields, vox, scratch + "/s")
     f, v = store.read_field(spark, scratch + "/s", "a")
     assert f.count() == 1 and v.count() == 512 and v.agg(F.max("phi")).first()[0] == 511
-    assert "PartitionFilters: [isnotnull(field_id" in v._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(field_folder" in v._jdf.queryExecution().executedPlan().toString()
     for fmt in ("parquet", "json", "csv"):
         store.append_rows(fields, f"{scratch}/{fmt}", fmt)
         store.append_rows(fields, f"{scratch}/{fmt}", fmt)
