@@ -14,7 +14,7 @@ from gapfield.operators import query as Q
 from gapfield.plans import evaluate
 from gapfield.operators.ordered import running
 from gapfield.plans.model_import import import_models
-from gapfield.sources import field_files, obj, signal_files, store
+from gapfield.sources import field_files, manifest, obj, signal_files, store
 from gapfield.sources.lines import read_lines
 from gapfield.sources.shapes import annular_sectors
 
@@ -263,3 +263,20 @@ def field_file_import(spark, sf):
     r = field_files.import_field_files(spark, f"{folder}/*.sdf")["voxels"]
     out = r.select(F.col("field_id").cast("bigint").alias("field_id"), *[F.col(c).cast("bigint").alias(c) for c in "ijk"], "phi", "nx", "ny", "nz", "wx")
     return rounded(out, ["phi", "nx", "ny", "nz", "wx"])
+
+
+@query("manifest_text", "SELECT s_name AS name, CAST(s_suppkey AS BIGINT) AS body_id, CASE WHEN s_nationkey % 3 = 0 THEN NULL ELSE 'mesh ' || s_nationkey || '.obj' END AS mesh_id, CASE WHEN s_nationkey % 2 = 0 THEN 'sdf' ELSE 'quadrature_and_sdf' END AS surface_role FROM supplier ")
+def manifest_text(spark, sf):
+    """Manifest text of all suppliers, parsed and joined to the bodies."""
+    s = T.load(spark, sf, "supplier")
+    n = F.col("s_nationkey")
+    text = F.array(
+        F.lit("# made by hand"), F.concat(F.lit("  '"), F.col("s_name"), F.lit("':")),
+        F.when(n % 3 == 0, "    mesh: null").otherwise(F.concat(F.lit("    mesh: \"mesh "), n.cast("string"), F.lit(".obj\"  # file"))),
+        F.when(n % 2 == 0, "    surface_role: sdf").otherwise(""), F.concat(F.lit("    body_id: "), F.col("s_suppkey").cast("string")),
+    )
+    rows = s.select(F.lit("m.yaml").alias("file"), F.col("s_suppkey").alias("block"), F.posexplode(text).alias("pos", "line"))
+    first = s.agg((F.min("s_suppkey") - 1).alias("block")).select(F.lit("m.yaml").alias("file"), "block", F.lit(0).alias("pos"), F.lit("bodies:").alias("line"))
+    m = manifest.parse_manifest(first.unionByName(rows))
+    bodies = s.select(F.col("s_name").alias("name"), F.col("s_suppkey").cast("bigint").alias("body_id"))
+    return manifest.resolve(bodies, m).select("name", "body_id", "mesh_id", "surface_role")

@@ -358,3 +358,10 @@ def voxels_in_blocks(spark, sf):
     v = T.sphere_voxels(spark, sf, hess=False)
     blocks = T.narrow_band(v).filter("bk = 0").select("field_id", "bi", "bj", "bk").distinct()
     return rounded(Q.in_blocks(v, blocks).select("field_id", "i", "j", "k", "phi"), ["phi"])
+
+
+@query("dropped_candidates", S.with_(S.SPHERES) + "SELECT field_id, i, j, k, 1 AS dropped FROM vox WHERE stride > 0 AND (i+j+k) % 3 <> 0")
+def dropped_candidates(spark, sf):
+    """Voxels with more candidates than two, as a defect table."""
+    d = Q.dropped_candidates(T.sphere_candidates(spark, sf), most=2)
+    return d.withColumn("dropped", F.col("dropped").cast("int"))

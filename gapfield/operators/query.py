@@ -324,6 +324,12 @@ def query(
     raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")
 
 
+def dropped_candidates(candidates: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
+    """Voxels that hold more candidates than a query reads, and how many it leaves out."""
+    over = candidates.filter(F.col("rank") >= most)
+    return over.groupBy("field_id", *grid.IJK).agg(F.count("rank").alias("dropped"))
+
+
 def with_candidates(results: DataFrame) -> DataFrame:
     """Every valid result gets at least one candidate (branch 0) and at most eight."""
     one = F.struct(
