@@ -127,11 +127,21 @@ def _join(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def _counted(texts: list[bytes]):
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    points, starts, ends, _ = letter_runs(data, offs)
-    _, first, counts = np.unique(run_hashes(points, starts, ends), return_index=True, return_counts=True)
-    return points, starts[first], ends[first], counts.astype(float)
+    """The distinct letter runs of texts and how often each occurs: points, starts, ends, counts."""
+    own, sizes, hashes, counts = [], [], [], []
+    for _, _, data, offs in text_blocks(pa.array(texts, pa.binary()), 1 << 19):
+        points, starts, ends, _ = letter_runs(data, offs)
+        h, first, n = np.unique(run_hashes(points, starts, ends), return_index=True, return_counts=True)
+        lens = (ends - starts)[first]
+        own.append(points[ranges(starts[first], lens)])
+        sizes.append(lens), hashes.append(h), counts.append(n)
+    if not own:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
+    points, lens = np.concatenate(own), np.concatenate(sizes)
+    _, first, inv = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    starts = np.cumsum(lens) - lens
+    return points, starts[first], (starts + lens)[first], np.bincount(inv, np.concatenate(counts))
 
 
 def fit(texts: dict[str, list[bytes]], order: int = ORDER) -> KneserNey:

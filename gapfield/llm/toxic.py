@@ -226,7 +226,8 @@ def _log_odds(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
 
 def learn(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> dict[str, np.ndarray]:
     p = fresh(seed)
-    prepared = [_inputs(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
+    # kept for all epochs, so in the smallest type that holds them
+    prepared = [tuple(x.astype(np.int32) for x in _inputs(np.frombuffer(t, np.uint8), np.array([0, len(t)]))) for t in texts]
     p["word"][:, 0] = _log_odds([np.unique(x[2]) for x in prepared], y, 1 << WORD_BITS)
     p["gram"][:, 0] = _log_odds([np.unique(x[3]) for x in prepared], y, 1 << GRAM_BITS)
     adam = _Adam(p, 0.01)
