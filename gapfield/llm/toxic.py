@@ -331,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def score_column(model: Model, column: pa.Array) -> np.ndarray:
-    out = [logits(model.params, data, offs) for _, _, data, offs in text_blocks(column)]
+    out = [logits(model.params, data, offs) for _, _, data, offs in text_blocks(column, 1 << 19)]
     x = np.concatenate([np.zeros(0), *out])
     return 1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -30, 30)))
 
