@@ -268,3 +268,29 @@ def test_tree_without_training(spark):
     short = next(r for r in got if r.doc_id == 5)
     assert short.n_tokens == 1 and abs(short.score + math.log10(256)) < 1e-9
     assert suffixtree.score(docs.where("false"), model, words).count() == 0
+
+
+def test_tree_grows_with_the_corpus(spark):
+    """Contexts kept on a small corpus stay when other text is added, and the tree gets larger."""
+    r = random.Random(5)
+    few = [(i, sentence(r, 40)) for i in range(40)]
+    other = ["".join(r.choice("BCDFGHJKLMNP0123456789") + r.choice("56789") + (" " if r.random() < 0.3 else "") for _ in range(4000)) for i in range(10)]
+    more = [(100 + i, other[i % 10].translate(str.maketrans("BCDFGHJKLMNP", "àáâãäåæçèéêë"))) for i in range(2000)]
+    trees = []
+    for rows in (few, few + more):
+        tree = suffixtree.train(spark.createDataFrame(rows, "doc_id bigint, text string"))[0].tree
+        trees.append({(k, c) for k in range(1, len(tree.contexts)) for c in tree.contexts[k].tolist()})
+    # a least share of all positions would drop contexts of the few texts for the text added
+    deep = {x for x in trees[0] if x[0] > 3}
+    assert deep and len(deep & trees[1]) >= 0.9 * len(deep) and len(trees[1]) > len(trees[0])
+    assert max(k for k, _ in trees[0]) > 5
+
+
+def test_tree_in_the_table_scores_as_gathered(spark, scored, monkeypatch):
+    rows, _, got, _, docs = scored
+    monkeypatch.setattr(suffixtree, "HEAD_CONTEXTS", 200)
+    monkeypatch.setattr(suffixtree, "GROUP_GRAMS", 5000)
+    model, words = suffixtree.train(docs.where(~held_out("doc_id", 7, 2)))
+    assert model.tree.thin is not None and sum(map(len, model.tree.contexts[3:])) <= 200 < model.tree.table.count()
+    again = suffixtree.score(docs, model, words).collect()
+    assert Counter((r.doc_id, round(r.score, 5)) for r in again) == Counter((r.doc_id, round(r.score, 5)) for r in got)
