@@ -167,3 +167,19 @@ def test_graph_recall():
     ids, _ = hnsw.nearest(g, v[:200], 128)
     top = np.argsort(-exact[:200], 1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), top.tolist())]) >= 0.9
+
+
+def test_audit_of_a_shard_without_drawn_links():
+    """A shard that no shared vector links with is audited by its own members, not passed unseen."""
+    r = np.random.default_rng(1)
+    v = embeddings._unit(r.normal(size=(12_000, 64)))
+    g = hnsw.build(v)
+    own = np.arange(0, len(v), 60)
+    sample = embeddings._unit(r.normal(size=(1, 64)))
+    assert not (sample @ v.T >= 0.8).any()
+    width = embeddings.audited(g, sample, 0.9, own)
+    assert width > embeddings.FIRST_BEAM
+    exact = v[own] @ v.T
+    ids, _ = hnsw.nearest(g, v[own], width)
+    top = np.argsort(-exact, 1)[:, :11]
+    assert np.mean([len(set(a) & set(b)) / 11 for a, b in zip(ids.tolist(), top.tolist())]) >= 0.9
