@@ -10,7 +10,9 @@ languages at once. A letter run is scored once per block of texts and its result
 The prediction is the language with the lowest cross-entropy per character (letters and one end per
 run); ties go to the first language in sorted order. ``score`` is the normalised likelihood of that
 language for ``EVIDENCE`` characters at most. ``rejected`` marks texts whose cross-entropy is above
-a threshold calibrated on training texts kept aside: the highest seen there plus ``MARGIN`` bits.
+a threshold calibrated on training texts kept aside: the ``QUANTILE`` of the entropies of those with
+``EVIDENCE`` characters or more (of all, if none is so long), plus ``MARGIN`` bits, plus ``SHORT`` bits
+over the root of the text's characters. A few wrong labels or junk texts don't move a quantile.
 
 Defined results: null, empty or letterless text is ``und`` with score 0 and rejected; a table
 without any labelled text gives ``und`` everywhere; rows with equal ids are scored one by one;
@@ -36,7 +38,7 @@ ORDER = 4
 # id; whole texts are used.
 PER_LANGUAGE = 1500
 EVIDENCE = 40
-MARGIN = 2.0
+QUANTILE, MARGIN, SHORT = 0.75, 0.45, 8.0
 _BEGIN, _END = 0x110000, 0x110001
 
 
@@ -163,9 +165,9 @@ def fit(texts: dict[str, list[bytes]], order: int = ORDER) -> KneserNey:
     model = KneserNey(langs, grams, probs, contexts, weights, 1.0 / max(models[x][4] for x in langs), np.zeros(len(langs)))
     for i, lang in enumerate(langs):
         aside = [t for j, t in enumerate(texts[lang]) if j % 5 == 0 and t.strip()]
-        got = [entropies(model, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0][0, i] for t in aside]
-        got = [x for x in got if x == x]
-        model.limits[i] = (max(got) if got else np.inf) + MARGIN
+        got = [(e[0, i], size[0]) for e, size in (entropies(model, np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in aside) if size[0]]
+        got = [x for x, size in got if size >= EVIDENCE] or [x for x, _ in got]
+        model.limits[i] = (np.quantile(got, QUANTILE) if got else np.inf) + MARGIN
     return model
 
 
@@ -221,7 +223,7 @@ def classify(model: KneserNey, column: pa.Array) -> tuple[list[str], np.ndarray,
         share = np.exp2(-(e - low[:, None]) * np.minimum(size, EVIDENCE)[:, None])
         langs += [UNKNOWN if x else model.languages[b] for b, x in zip(best, none, strict=True)]
         scores.append(np.where(none, 0.0, 1 / share.sum(1)))
-        rejected.append(none | (low > model.limits[best]))
+        rejected.append(none | (low > model.limits[best] + SHORT / np.sqrt(np.maximum(size, 1))))
     return langs, np.concatenate([np.zeros(0), *scores]), np.concatenate([np.zeros(0, bool), *rejected])
 
 

@@ -61,6 +61,25 @@ def test_language(spark, small):
     assert langid.classify(model, pa.array(["Καλημέρα κόσμε, τι κάνετε σήμερα εδώ πέρα"]))[2].all()
 
 
+def test_language_rejects_an_unlearned_one_in_the_same_script(small):
+    """A language held back is rejected, also when some texts of it carry the label of a learned one."""
+    own = {}
+    for r in small[0].where("text is not null and lang is not null").orderBy("doc_id", "text").collect():
+        own.setdefault(r.lang, []).append(r.text)
+    for foreign in sorted(own):
+        learned = {k: [t.encode() for t in v[::2]] for k, v in own.items() if k != foreign}
+        for wrong in (False, True):
+            if wrong:
+                # every fiftieth text, among those kept aside
+                for v in learned.values():
+                    for i, t in zip(range(0, len(v), 50), own[foreign]):
+                        v[i] = t.encode()
+            model = langid.fit(learned)
+            assert langid.classify(model, pa.array(own[foreign][1::2]))[2].mean() >= 0.9
+            known = [t for k, v in own.items() if k != foreign for t in v[1::2]]
+            assert langid.classify(model, pa.array(known))[2].mean() <= 0.01
+
+
 def test_kneser_ney_sums_to_one():
     texts = {"aa": [b"banana bandana cabana", b"a ban"], "bb": [b"dodo do od"]}
     model = langid.fit(texts)
