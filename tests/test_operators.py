@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gapfield.functions import law, pose
 from gapfield.functions.vec import AXES, M3, V3
-from gapfield.operators import bins, contact, mesh, model, nearest, ordered, phases, signals
+from gapfield.operators import bins, contact, mesh, model, nearest, ordered, phases, sectors, signals
 from gapfield.operators import query as Q
 from gapfield.plans import build, evaluate
 from gapfield.sources import shapes
@@ -97,12 +97,13 @@ def fnv(n):
 
 
 @pytest.mark.parametrize("sparse", [False, True])
-def test_build_candidates(spark, sparse):
+@pytest.mark.parametrize("tiles", [True, False])
+def test_build_candidates(spark, sparse, tiles):
     v = np.array([[0, 0, 0], [1, 0, 0], [1, 1, 0], [0, 1, 0], [0.5, 0, 0.5], [0.5, 1, 0.5]], float)
     f = np.array([[0, 1, 2], [0, 2, 3], [0, 1, 4], [3, 5, 2], [0, 4, 5], [0, 5, 3], [1, 2, 5], [1, 5, 4]])
     vs, fs = mesh_frames(spark, v, f)
     t = mesh.triangles(vs, fs)
-    p = build.BuildParams(target=8, max_res=8, block_dim=4, tile=2, levels=1, store_hessian=False)
+    p = build.BuildParams(target=8, max_res=8, block_dim=2 if sparse else 4, tile=4, tiles=tiles, levels=1 + tiles, store_hessian=False, band=0.02, halo=0, tolerance=0.1)
     spec = build.field_specs(vs, p, "candidates")
     vox, cand = build.build_candidates(t, spec, p, sparse)
     got = {}
@@ -113,16 +114,26 @@ def test_build_candidates(spark, sparse):
     a, b, c = (v[f[:, q]] for q in range(3))
     n = np.cross(b - a, c - a)
     n /= np.linalg.norm(n, axis=1)[:, None]
-    tol, cos = 1.5 * h, math.cos(math.radians(5))
+    tol, cos = 0.1, math.cos(math.radians(5))
+    grow = max(0.02 if sparse else 0.0, tol + 2 * h) + h * (math.sqrt(3) / 2 * 4 + 1)
+    corners = np.stack([a, b, c])
+    ends = [np.clip(f((w + s * grow - lo) / h - 0.5), 0, 7) // 4 for f, s, w in ((np.floor, -1, corners.min(0)), (np.ceil, 1, corners.max(0)))]
     if not sparse:
         assert len(got) == 512
+    elif not tiles:
+        near = {b3 for b3 in np.ndindex(4, 4, 4) if abs(signed(lo + (np.array(b3) * 2 + 1) * h, v, f)[0]) <= 0.02 + math.sqrt(3) / 2 * 2 * h}
+        assert {(i // 2, j // 2, k // 2) for i, j, k in got} == near and len(got) == 8 * len(near) and 0 < len(near) < 64
     for (i, j, k), rows in got.items():
         x = lo + (np.array([i, j, k]) + 0.5) * h
         q, d2 = closest(x, a, b, c)
         dist = np.sqrt(d2)
+        here = np.array([i, j, k]) // 4
+        filed = ((ends[0] <= here) & (here <= ends[1])).all(1) | (not tiles)
+        if not filed.any():
+            filed[dist.argmin()] = True
         kept = []
-        for m in range(len(f)):
-            if dist[m] > dist.min() + tol:
+        for m in np.flatnonzero(filed):
+            if dist[m] > dist[filed].min() + tol:
                 continue
             e = (float((x - q[m]) @ n[m]), n[m])
             for z, o in enumerate(kept):
@@ -365,3 +376,34 @@ def test_matrix_helpers(spark):
     m = M3([[1, 2, 3], [4, 5, 6], [7, 8, 10]])
     r = spark.range(1).select((m @ V3(1.0, 0.0, -1.0)).x.alias("a"), m.trace().alias("t"), V3(1, 2, 3).cross(V3(0, 1, 0)).z.alias("c")).first()
     assert (r.a, r.t, r.c) == (-2.0, 16.0, 1.0)
+
+
+def test_sector_merge_over_many_batches(spark):
+    """A voxel that spans batches is merged like one in a single batch."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, n in enumerate([1, 700, 3, 40, 40, 1, 2500]):
+        for t in range(n):
+            x = rng.normal(size=3) * [1, 1, 0.05 if g == 6 else 1]
+            rows.append((g % 3, g, t, float(rng.random() / 2), 0.6, *map(float, [rng.normal(), *x / np.linalg.norm(x), 0, 0, t])))
+    names = "field_id int, i int, tri_id int, dist double, tol double, " + ", ".join(f"{v} double" for v in sectors.VALUES)
+    df = spark.createDataFrame(rows, names)
+    cos = math.cos(math.radians(5))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = sectors.merged(df.repartition(5), ("field_id", "i"), "tri_id", "tol", cos, 6).orderBy("i", "rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in range(7):
+        kept = []
+        for r in sorted((r for r in rows if r[1] == g), key=lambda r: r[2]):
+            for z, o in enumerate(kept):
+                if np.dot(o[6:9], r[6:9]) >= cos:
+                    if abs(r[5]) < abs(o[5]):
+                        kept[z] = r
+                    break
+            else:
+                kept.append(r)
+        want = sorted(kept, key=lambda r: abs(r[5]))[:6]
+        assert [(r.rank, r.phi, r.wz) for r in got if r.i == g] == [(k, r[5], r[11]) for k, r in enumerate(want)]
+    assert sectors.merged(df.where("false"), ("field_id", "i"), "tri_id", "tol", cos, 6).count() == 0
