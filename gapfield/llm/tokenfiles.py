@@ -8,13 +8,18 @@ order of the tasks that read them. A file takes about ``FILE_BYTES`` of ids; a l
 Layout, little-endian: magic ``EFTOKEN1``; width of an id in bytes (u4), documents without an id (u4, they come first), number
 of documents (u8), number of tokens (u8); ids; boundaries (documents + 1 values, from 0); the integer doc_ids.
 
-The encoded rows are staged once, sorted by range, and written by the tasks; a task reports the
-files it wrote as rows of the index, a Parquet table. What the index does not name, such as a file of
+Encoding: the library encodes every distinct word between white space once per task and the ids are
+looked up from then on. Its pieces never hold white space, and normalisation doesn't reach across it, so the
+ids of a text are those of its words.
+
+Order: a sample of (doc_id, row number) of at most ``SAMPLE`` rows gives the bounds of the parts, as
+range partitioning does, but without encoding twice or staging the ids. Row numbers split an id
+that many rows share. A task encodes, finds the part of each row, and the ids are shuffled once. A task then
+writes files and reports them as rows of the index, a Parquet table. What the index does not name, such as a file of
 a lost attempt, is not part of the data, so a retried task can't harm it. The index also has
-the position of every file's first token, by a running sum over partitions and one over the files of a partition.
+the position of every file's first token, by a running sum over parts and one over the files of a part.
 
-Files are read by Spark's own reader and opened in tasks; ``file system`` of the folder is anything
-that pyarrow can open by URI.
+Files are read by Spark's own reader and opened in tasks; they are written through pyarrow to the URI of the folder.
 
 Defined results: null or empty text is the end id alone; a null doc_id comes first; equal doc_ids are documents of their own;
 other columns are ignored; an empty table gives an index without rows.
@@ -37,55 +42,103 @@ from pyspark.sql import functions as F
 
 from gapfield.session import shared_folder
 
+from .blocks import ranges, run_hashes, text_blocks, words
 from .common import staged
 from .eliasfano import EliasFano
+from .slicecache import SliceCache
 
 END_ID = 1
 FILE_BYTES = 4 << 20
-# Characters of text that are encoded in one call.
-BATCH_CHARS = 1 << 20
+# Bytes of text that are encoded in one step.
+BLOCK_BYTES = 512 << 10
+# Rows of the sample that the bounds of the parts come from, and parts at most.
+SAMPLE, PARTS = 100_000, 8192
 MAGIC = b"EFTOKEN1"
 _HEAD = struct.Struct("<8sIIQQ")
+_NO_ID = np.iinfo(np.int64).min
+
+
+class WordEncoder:
+    """A tokenizer of the library whose pieces never hold white space, with a cache of words."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the other tasks
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.cache = SliceCache()
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of whole texts (bytes with row offsets) and the row offsets into the ids."""
+        starts, ends, row_words = words(data, offs)
+        keys, first, inverse = np.unique(run_hashes(data, starts, ends, 5), return_index=True, return_inverse=True)
+
+        def make(missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = first[missing]
+            texts = [data[a:b].tobytes().decode() for a, b in zip(starts[own], ends[own], strict=True)]
+            ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+
+        at, size = self.cache.slices(keys, make)
+        counts = size[inverse]
+        before = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=before[1:])
+        return self.cache.flat[ranges(at[inverse], counts)], before[row_words]
 
 
 @cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the other tasks
-    from tokenizers import Tokenizer
+def _encoder(path: str) -> WordEncoder:
+    """One per process."""
+    return WordEncoder(path)
 
-    return Tokenizer.from_file(path)
 
+def ended(ids: np.ndarray, rows: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and row offsets with the end id behind every row."""
+    n = len(rows) - 1
+    out = np.full(len(ids) + n, end_id, ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(rows))] = ids
+    return out, rows + np.arange(n + 1)
 
-def _runs(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
-    lo, chars = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and chars + len(t) > limit:
-            yield lo, i
-            lo, chars = i, 0
-        chars += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
 
+def parts_of(doc_ids: np.ndarray, numbers: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Part of every row: how many bounds are at most (doc_id, row number)."""
+    low, high = np.searchsorted(bounds[0], doc_ids, "left"), np.searchsorted(bounds[0], doc_ids, "right")
+    part = low.copy()
+    for value in np.unique(low[high > low]):
+        own = np.flatnonzero((low == value) & (high > low))
+        part[own] += np.searchsorted(bounds[1][value : high[own[0]]], numbers[own], "right")
+    return part
 
-def encode(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, ids (binary, little-endian, of ``width`` bytes each), width, n of every row of (doc_id, text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def _bounds(docs: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """Bounds of the parts, and how many parts there are: as many as tasks read the table, ``PARTS`` at most."""
+    parts = min(PARTS, max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()))
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("d"), F.monotonically_increasing_id().alias("row"))
+    total = ids.count()
+    share = min(1.0, SAMPLE * 0.8 / max(total, 1))
+    drawn = ids.where(F.expr(f"pmod(xxhash64(d, row), 1000000007) < {share} * 1000000007")).limit(SAMPLE).toArrow()
+    d, row = drawn.column("d").to_numpy(), drawn.column("row").to_numpy()
+    order = np.lexsort((row, d))
+    at = np.unique(np.arange(1, parts) * len(order) // parts) if len(order) else np.zeros(0, np.int64)
+    return (d[order][at], row[order][at]), parts
+
+
+def encode(docs: DataFrame, path: str, bounds: tuple[np.ndarray, np.ndarray], end_id: int = END_ID) -> DataFrame:
+    """part, doc_id, row, width (bytes an id takes) and ids (binary, little-endian) of every row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        end = [] if end_id is None else [end_id]
+        encoder = _encoder(path)
         for b in batches:
-            texts = b.column(1).fill_null("").to_pylist()
-            for lo, hi in _runs(texts, BATCH_CHARS):
-                packed, widths, counts = [], [], []
-                for e in tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False):
-                    ids = np.array(e.ids + end, "<u4")
-                    widths.append(2 if ids.max(initial=0) < 1 << 16 else 4)
-                    counts.append(len(ids))
-                    packed.append(ids.astype(f"<u{widths[-1]}").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary()), pa.array(widths, pa.int32()), pa.array(counts, pa.int64())], ["doc_id", "ids", "width", "n"])
+            for lo, hi, data, offs in text_blocks(b.column(2), BLOCK_BYTES):
+                ids, rows = ended(*encoder.encode(data, offs), end_id)
+                width = 2 if ids.max(initial=0) < 1 << 16 else 4
+                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((rows * width).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))])
+                doc_id, row = b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)
+                part = parts_of(doc_id.fill_null(_NO_ID).to_numpy(), row.to_numpy(), bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_id, row, pa.array(np.full(hi - lo, width, np.int32)), packed], ["part", "doc_id", "row", "width", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, width int, n bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(run, "part int, doc_id bigint, row bigint, width int, ids binary")
 
 
 def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -125,18 +178,21 @@ class TokenFile:
         return self.bounds.before(position) - 1
 
 
-def write(encoded: DataFrame, folder: str, file_bytes_: int = FILE_BYTES) -> DataFrame:
-    """Files of all rows of ``encode``; the index: name, part, file, documents, tokens, start."""
-    spark = encoded.sparkSession
-    rows = staged(encoded.withColumn("row", F.monotonically_increasing_id()))
-    size = rows.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
-    parts = max(spark.sparkContext.defaultParallelism, -(-size // (16 * file_bytes_)))
+def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, most: int = FILE_BYTES) -> DataFrame:
+    """Files of all rows of (doc_id, text); the index: name, part, file, documents, tokens, start."""
     folder = folder.rstrip("/")
+    bounds, parts = _bounds(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    def opened() -> tuple[pafs.FileSystem, str]:
+        fs, root = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
         fs.create_dir(root, recursive=True)
-        names, own, held, made = [], [], 0, 0
+        return fs, root
+
+    opened()  # a table without rows has a folder too
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened()
+        names, own, held, made, part = [], [], 0, 0, None
 
         def flush() -> pa.RecordBatch:
             nonlocal names, own, held, made
@@ -147,21 +203,22 @@ def write(encoded: DataFrame, folder: str, file_bytes_: int = FILE_BYTES) -> Dat
             names, own, held, made = [], [], 0, made + 1
             return record
 
-        part = 0
         for b in batches:
-            for doc_id, ids, width, p in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if own and held + len(ids) > file_bytes_:
+            for p, doc_id, width, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+                ids = np.frombuffer(ids.as_buffer(), f"<u{width}")
+                if own and (p != part or held + ids.nbytes > most):
                     yield flush()
-                part = p
+                if p != part:
+                    part, made = p, 0
                 names.append(doc_id)
-                own.append(np.frombuffer(ids, f"<u{width}"))
-                held += len(ids)
+                own.append(ids)
+                held += ids.nbytes
         if own:
             yield flush()
 
-    sorted_rows = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "row").sortWithinPartitions(F.asc_nulls_first("doc_id"), "row").select(F.col("doc_id").cast("bigint"), "ids", "width", F.spark_partition_id().alias("part"))
-    files = staged(sorted_rows.mapInArrow(run, "name string, part int, file bigint, documents bigint, tokens bigint"))
-    # one row per partition in the first window, the files of a partition in the second
+    dealt = encode(docs, path, bounds, end_id).repartition(parts, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "row")
+    files = staged(dealt.mapInArrow(run, "name string, part int, file bigint, documents bigint, tokens bigint"))
+    # one row per part, PARTS at most, in the first window, the files of a part in the second
     per_part = files.groupBy("part").agg(F.sum("tokens").alias("own"))
     before = per_part.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))
     within = F.sum("tokens").over(Window.partitionBy("part").orderBy("file")) - F.col("tokens")
@@ -218,7 +275,7 @@ def documents(index: DataFrame, folder: str) -> DataFrame:
     return rows.select("doc_id", (F.col("before") + F.col("own")).alias("start"), "ids")
 
 
-def written(docs: DataFrame, path: str, folder: str | None = None, end_id: int | None = END_ID) -> tuple[DataFrame, str]:
+def written(docs: DataFrame, path: str, folder: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, str]:
     """The index and the folder of the files of all documents; a new one in the shared folder, if none is given."""
     folder = folder or f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    return staged(write(encode(docs, path, end_id), folder)), folder
+    return staged(write(docs, path, folder, end_id)), folder

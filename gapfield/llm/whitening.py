@@ -180,7 +180,8 @@ def identity_errors(rows: DataFrame, fitted: dict[int, Fit], scale: int = SCALE,
         return {d: np.array(v) for d, v in out.items()}
 
     means = {d: v / fitted[d].n for d, v in summed(lambda d, w: w.sum(0)).items()}
-    products = summed(lambda d, w: ((w - means[d]).T @ (w - means[d])).ravel())
+    empty = np.zeros(0)
+    products = summed(lambda d, w: ((w - means.get(d, empty)).T @ (w - means.get(d, empty))).ravel())
     errors: dict[int, float | None] = dict.fromkeys(fitted)
     for d, v in products.items():
         k = len(usable[d])
