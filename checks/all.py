@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import contacts, evaluation, fields, geometry, signals, streams  # noqa: F401
+from . import builds, contacts, evaluation, fields, geometry, signals, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -307,20 +307,14 @@ _blk = f"""bc AS (SELECT mesh_id, bi + 2*(bj + 2*bk) AS pid, bi, bj, bk, h, bmin
  FROM g, range(2) a(bi), range(2) bb(bj), range(2) c(bk))"""
 
 
-@query("build_sparse", S.materialized(S.with_(*FIELD, _blk, S.signed("bc", "sb"), "act AS (SELECT bc.* FROM bc JOIN sb ON bc.mesh_id = sb.mesh_id AND bc.pid = sb.pid WHERE dist <= 2e-2 + 5e-1*sqrt(3e0)*4*h)", "av AS (SELECT v.* FROM vx v JOIN act a ON v.mesh_id = a.mesh_id AND v.i//4 = a.bi AND v.j//4 = a.bj AND v.k//4 = a.bk)", S.signed("av", "sd")), "trin", "vx", "sb", "act", "av", "sd") + f"SELECT v.mesh_id AS field_id, v.i, v.j, v.k, {S.r6('CAST(CAST(phi AS FLOAT) AS DOUBLE)', 'phi', 5)}, {S.r6('CAST(CAST(nx AS FLOAT) AS DOUBLE)', 'nx', 5)} FROM av v JOIN sd ON v.mesh_id = sd.mesh_id AND v.pid = sd.pid")
+# block centres need the distance alone, without signs
+@query("build_sparse", S.materialized(S.with_(*FIELD, _blk, "bt AS (SELECT bc.*, t.* EXCLUDE (mesh_id) FROM bc JOIN trin t ON bc.mesh_id = t.mesh_id)", S.closest("bt", ["mesh_id", "bi", "bj", "bk", "h"], "bd"), "act AS (SELECT mesh_id, bi, bj, bk FROM bd GROUP BY mesh_id, bi, bj, bk, h HAVING min(dist) <= 2e-2 + 5e-1*sqrt(3e0)*4*h)", "av AS (SELECT v.* FROM vx v JOIN act a ON v.mesh_id = a.mesh_id AND v.i//4 = a.bi AND v.j//4 = a.bj AND v.k//4 = a.bk)", S.signed("av", "sd")), "trin", "vx", "act", "av", "sd_pair") + f"SELECT v.mesh_id AS field_id, v.i, v.j, v.k, {S.r6('CAST(CAST(phi AS FLOAT) AS DOUBLE)', 'phi', 5)}, {S.r6('CAST(CAST(nx AS FLOAT) AS DOUBLE)', 'nx', 5)} FROM av v JOIN sd ON v.mesh_id = sd.mesh_id AND v.pid = sd.pid")
 def build_sparse(spark, sf):
     """Narrow-band fields: block centres first, then only the voxels of blocks near the surface."""
     v = build.build_sparse(T.tris(spark, sf), _specs(spark, sf, "sparse"), build.replace(P, store_hessian=False))
     return rounded(v.select("field_id", "i", "j", "k", "phi", "nx"), ["phi", "nx"], 5)
 
 
-@query("build_candidates")
-def build_candidates(spark, sf):
-    """Candidates per voxel; the greedy merge is order dependent, so pytest checks it by brute force."""
-    _, c = build.build_candidates(T.tris(spark, sf), _specs(spark, sf, "candidates"), build.replace(P, store_hessian=False))
-    return rounded(c.select("field_id", "i", "j", "k", "rank", "branch_id", "phi"), ["phi"])
-
-
 @query("sweep_dimensions", S.with_(S.TRI, "r AS (SELECT mesh_id, unnest([8, 20, 50, 600]) AS res FROM (SELECT DISTINCT mesh_id FROM tri))", S.VERT, f"""b AS (SELECT mesh_id, {", ".join(f"min({a}) AS lo{a}, max({a}) AS hi{a}" for a in X)} FROM vert GROUP BY mesh_id),
 p0 AS (SELECT b.*, res, 1e-1*{S.norm(S.sub(S.vec("hi"), S.vec("lo")))} AS pad FROM b JOIN r ON b.mesh_id = r.mesh_id),
 p1 AS (SELECT *, {", ".join(f"hi{a}-lo{a}+2e0*pad AS l{a}" for a in X)} FROM p0), g AS (SELECT *, greatest(lx, ly, lz)/res AS h FROM p1),
@@ -352,11 +346,11 @@ def block_points(spark, sf):
     return rounded(points.block_points(v, T.sphere_fields(spark, sf), 100), ["x", "y", "z"])
 
 
-@query("voxels_in_blocks", S.with_(S.SPHERES, _band) + f"SELECT v.field_id, i, j, k, {S.r6('phi')} FROM vox v JOIN act a ON v.field_id = a.field_id AND v.bi = a.bi AND v.bj = a.bj AND v.bk = a.bk WHERE v.bk = 0")
+@query("voxels_in_blocks", S.with_(S.SPHERES, _band) + f"SELECT v.field_id, i, j, k, {S.r6('phi')} FROM vox v JOIN act a ON v.field_id = a.field_id AND v.bi = a.bi AND v.bj = a.bj AND v.bk = a.bk")
 def voxels_in_blocks(spark, sf):
-    """The voxels of the active blocks of the lowest layer."""
+    """The voxels of all active blocks."""
     v = T.sphere_voxels(spark, sf, hess=False)
-    blocks = T.narrow_band(v).filter("bk = 0").select("field_id", "bi", "bj", "bk").distinct()
+    blocks = T.narrow_band(v).select("field_id", "bi", "bj", "bk").distinct()
     return rounded(Q.in_blocks(v, blocks).select("field_id", "i", "j", "k", "phi"), ["phi"])
 
 
