@@ -16,7 +16,7 @@ something. So no pair is ever a row, and components come out as if all candidate
 
 Defined results: null or empty text, or text without words, has an empty set and links with
 nothing; with fewer than five words the whole sequence is the one shingle; rows with equal ids
-count as one document; a row without an id takes its group's id and is not kept when it has one.
+count as one document; a row without an id links like any other, takes its group's id and is not kept when it has one.
 Nodes are identified by 64-bit digests of their sets. Other columns are ignored.
 """
 
@@ -91,7 +91,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) and sketch of every row."""
+    """doc_id, digest of the text, n_shingles, node (null for an empty set) and sketch of every row."""
 
     def run(batches):
         for b in batches:
@@ -101,10 +101,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     n.append(len(s))
                     node.append(_node(s) if len(s) else None)
                     sketch.append(registers(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "digest", "n_shingles", "node", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, digest bigint, n_shingles bigint, node bigint, sketch binary")
 
 
 def _node(s: np.ndarray) -> int:
@@ -211,30 +211,40 @@ def group_links(grouped: DataFrame, threshold: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes) of the wanted (node, doc_id), from one text of each."""
-    wanted = wanted.select("doc_id", F.col("node").alias("wanted"))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("wanted", "text")
-
-    def run(batches):
-        for b in batches:
-            for lo, hi, data, offs in text_blocks(b.column(1)):
-                got = [(w, s) for w, s in zip(b.column(0)[lo:hi].to_pylist(), shingle_sets(data, offs), strict=True) if len(s) and _node(s) == w]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["node", "hashes"])
-
-    return texts.mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
-
-
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    rows = staged(signatures(docs))
+    """(node, hashes) of the wanted (node, doc_id), from one text of each; nodes without an id are looked for among the rows without one."""
+
+    def sets(texts: DataFrame) -> DataFrame:
+        """(node, hashes) of (wanted, text); with a null ``wanted`` of any set, else of that one."""
+
+        def run(batches):
+            for b in batches:
+                for lo, hi, data, offs in text_blocks(b.column(1)):
+                    got = [(_node(s), w, s) for w, s in zip(b.column(0)[lo:hi].to_pylist(), shingle_sets(data, offs), strict=True) if len(s)]
+                    got = [(n, s) for n, w, s in got if w in (n, None)]
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["node", "hashes"])
+
+        return texts.mapInArrow(run, "node bigint, hashes binary")
+
+    named = wanted.where("doc_id is not null").select("doc_id", F.col("node").alias("wanted"))
+    if named.count() <= BROADCAST_IDS:
+        named = F.broadcast(named)
+    found = sets(docs.select("doc_id", "text").join(named, "doc_id").select("wanted", "text"))
+    nameless = wanted.where("doc_id is null").select("node")
+    n = nameless.count()
+    if n:
+        nameless = F.broadcast(nameless) if n <= BROADCAST_IDS else nameless
+        found = found.unionByName(sets(docs.where("doc_id is null").select(F.lit(None).cast("bigint").alias("wanted"), "text")).join(nameless, "node", "left_semi"))
+    return found.dropDuplicates(["node"])
+
+
+def _grouped(docs: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+    """node, doc_id (the smallest of its rows) and root of every set of the rows that ``signatures`` gave."""
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     nodes = staged(nodes)
     every = bands(nodes)
     hubs = every.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("band", "hub")
     groups = components(every.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    wanted = staged(groups.join(nodes.where("doc_id is not null").select("node", "doc_id", "sketch", "n_shingles"), "node"))
+    wanted = staged(groups.join(nodes.select("node", "doc_id", "sketch", "n_shingles"), "node"))
     sets = full_sets(docs, wanted)
     # small groups share piles; a large one is a pile of its own, cut into blocks that meet two by two
     sizes = wanted.groupBy("root").agg(F.count("node").alias("size"), F.sum("n_shingles").alias("weight"))
@@ -247,8 +257,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     single = F.col("low") == F.col("high")
     found = group_links(dealt.join(sets, "node").withColumn("block", F.when(single, F.lit(0)).otherwise(F.col("block"))), threshold)
     roots = components(found)
+    return nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
 
-    own = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    rows = staged(signatures(docs))
+    own = _grouped(docs, rows, threshold)
     ids = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = own.join(ids, "root").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
@@ -256,6 +271,26 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows, all columns as they are, without those that are not kept; rows without an id stay."""
-    gone = near_duplicates(docs, threshold).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every group, all columns as they are.
+
+    A group keeps the row with its smallest id (a null id is the largest), of several texts under that id
+    the one with the smallest digest, of several such rows one. Rows are told apart by id and digest of the
+    text, so another text under the id of one that goes stays. Rows with an empty set stay.
+    """
+    rows = staged(signatures(docs))
+    texts = rows.where("node is not null").groupBy("node", "doc_id", "digest").count()
+    texts = staged(texts.join(_grouped(docs, rows, threshold).select("node", "root"), "node"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "digest")
+    best = texts.groupBy("root").agg(F.min(place).alias("best"))
+    judged = staged(texts.join(best, "root").select("doc_id", "digest", "count", (place == F.col("best")).alias("stays")))
+
+    def those(condition: str) -> DataFrame:
+        return judged.where(condition).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_digest"))
+    kept = docs.join(those("not stays"), same, "left_anti")
+    repeated = those("stays and count > 1")
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(repeated, same).dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
+    return kept.join(repeated, same, "left_anti").unionByName(once)

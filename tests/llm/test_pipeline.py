@@ -10,7 +10,7 @@ from fixtures_llm import SCHEMA, awkward, near_components, repeats
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from gapfield.llm import langid, toxic
+from gapfield.llm import langid, minhash, toxic
 from gapfield.llm.common import table
 
 
@@ -70,6 +70,21 @@ def test_near_duplicate_stage(stages):
     assert rows(after, "doc_id", "text") == Counter((d, t) for i, (d, t) in enumerate(own) if want[i][1] in (None, d))
 
 
+def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
+    """A repeated id with two texts, repeated rows, and copies without ids."""
+    a, b, c, e = (" ".join(f"{w}{i}" for i in range(40)) for w in "abce")
+    near = [c.split(), c.split(), c.split()]
+    near[1][10] = near[2][10] = "x"
+    near[2][25] = "y"
+    link, far = " ".join(near[1]), " ".join(near[2])
+    given = [(1, a), (2, a), (2, b), (3, e), (3, e), (None, link), (8, c), (9, far), (None, a), (4, ""), (4, ""), (5, None), (None, "p q r s t"), (None, "p q r s t")]
+    docs = spark.createDataFrame([(d, t, "en", None, 1, *[None] * 5) for d, t in given], SCHEMA)
+    after = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert rows(after, "doc_id", "text") == Counter([(1, a), (2, b), (3, e), (8, c), (4, ""), (4, ""), (5, None), (None, "p q r s t")])
+    ids = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert ids[9, 36] == ids[8, 36] == 8  # linked over the row without an id
+
+
 def test_passage_stage(stages):
     _, before, after = stages[3]
     own = before.collect()
@@ -108,4 +123,4 @@ def test_stages_survive_awkward_rows(spark):
 
 def test_every_operator_has_its_query():
     names = {n for n in entry.queries() if re.match(r"op\d+_", n)}
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
