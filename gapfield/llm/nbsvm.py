@@ -155,7 +155,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Mode
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Fit on labelled rows: docs has doc_id and text, labels doc_id and the label column."""
     # the draw has about 2 * per_class short rows, so it goes to the texts and not they to it
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
     total = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn(known, "doc_id", "y", per_class)), "doc_id").select("doc_id", "text", "y")
 
@@ -166,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
                 rows = [f.tobytes() for f in features.of(data, offs)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(rows, pa.binary())], ["doc_id", "y", "features"])
 
-    got = sample.mapInArrow(run, "doc_id bigint, y int, features binary").collect()
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    got = sample.mapInArrow(run, f"doc_id {kind}, y int, features binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.features)))
     y = np.array([r.y for r in got], float)
     n = {c: max(1, int((y == c).sum())) for c in (0, 1)}

@@ -116,6 +116,39 @@ def test_quality_classifier(spark, small):
     check_scorer(spark, lambda d: nbsvm.score(d, model), lambda d, x: nbsvm.score(d, nbsvm.train(d, x)))
 
 
+def test_quality_classifier_takes_ids_and_labels_of_any_type(spark, small):
+    docs, labels = (d.withColumn("doc_id", F.col("doc_id").cast("string")) for d in small)
+    model = nbsvm.train(docs, labels.withColumn("quality", F.col("quality").cast("bigint")))
+    rows = nbsvm.score(docs, model).collect()
+    assert all(isinstance(r.doc_id, str | None) and 0 <= r.score <= 1 for r in rows) and len(rows) == small[0].count()
+    same = nbsvm.train(*small)
+    assert np.isfinite(model.weights).all() and model.weights.any() and same.weights.shape == model.weights.shape
+
+
+def test_quality_classifier_equals_plain_loops(spark, small):
+    """Ratios and scores of a few texts, by dictionaries."""
+    docs = small[0].where("text is not null").orderBy("doc_id").limit(20).collect()
+    features = nbsvm.Features()
+    own = []
+    for r in docs:
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        own.append([int(x) for x in next(iter(features.of(raw, np.array([0, len(raw)]))))])
+    y = np.array([float(i % 2) for i in range(len(own))])
+    model = nbsvm.fit([np.array(f, np.int32) for f in own], y, np.ones(len(own)))
+    counts = [{}, {}]
+    for f, c in zip(own, y, strict=True):
+        for x in f:
+            counts[int(c)][x] = counts[int(c)].get(x, 0) + 1
+    size = 1 << nbsvm.BITS
+    totals = [sum(c.values()) + size for c in counts]
+    for x in {x for f in own for x in f}:
+        ratio = math.log((counts[1].get(x, 0) + 1) / totals[1]) - math.log((counts[0].get(x, 0) + 1) / totals[0])
+        assert math.isclose(model.squares[x], ratio**2, rel_tol=1e-9, abs_tol=1e-12)
+    for f, got in zip(own, nbsvm.margins(model, [np.array(f, np.int32) for f in own]), strict=True):
+        norm = math.sqrt(sum(float(model.squares[x]) for x in f)) or 1.0
+        assert math.isclose(got, sum(float(model.weights[x]) for x in f) / norm + model.bias, rel_tol=1e-6, abs_tol=1e-9)
+
+
 def test_dual_coordinate_descent_reaches_the_primal_optimum():
     r = np.random.default_rng(0)
     rows = [np.unique(r.integers(0, 12, 5)) for _ in range(80)]
