@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 
 from .blocks import ranges, run_hashes, text_blocks
 from .charclass import LETTER, NUMBER, SPACE, char_classes
+from .slicecache import SliceCache
 
 # Symbols: letter, number, other, apostrophe of a 2- or 3-character contraction, space before a
 # word, other white space before a word, white space before white space or the end.
@@ -36,8 +37,8 @@ _L, _N, _O, _Q2, _Q3, _SP, _WL, _WM, _FIRST = 0, 1, 2, 3, 4, 5, 6, 7, 8
 # one or two characters of a contraction to come.
 _CLOSED, _INL, _INN, _INO, _OPEN, _INW, _ONE, _TWO = range(8)
 _BLOCK = 128
-# Pieces kept per process between blocks; beyond it the cache starts anew, which changes time only.
-CACHE_PIECES = 1_500_000
+# Bytes of text per step; the arrays of a step take some hundred times as much.
+BLOCK_BYTES = 512 << 10
 _NEVER = np.int32(2**31 - 1)
 
 
@@ -195,8 +196,7 @@ class Vocabulary:
 
     # pieces merged before: sorted hashes, where their ids start, how many they are
     def forget(self) -> None:
-        self._cache = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        self._cache_ids = np.zeros(0, np.int32)
+        self.cache = SliceCache()
 
     def merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces (byte slices), one after the other, and how many each has."""
@@ -292,21 +292,9 @@ class Vocabulary:
         starts = lead[token_starts(points, np.searchsorted(lead, offs))]
         ends = np.append(starts[1:], len(data))[: len(starts)]
         keys, first, inv = np.unique(run_hashes(data, starts, ends, 3), return_index=True, return_inverse=True)
-        if len(self._cache[0]) + len(keys) > CACHE_PIECES:
-            self.forget()
-        known, at, size = self._cache
-        pos = np.searchsorted(known, keys)
-        missing = np.flatnonzero((pos == len(known)) | (known[np.minimum(pos, len(known) - 1)] != keys)) if len(known) else np.arange(len(keys))
-        if len(missing):
-            flat, counts = self.merge(data, starts[first[missing]], ends[first[missing]])
-            offs_new = len(self._cache_ids) + np.cumsum(counts) - counts
-            self._cache_ids = np.concatenate([self._cache_ids, flat])
-            self._cache = (np.insert(known, pos[missing], keys[missing]), np.insert(at, pos[missing], offs_new), np.insert(size, pos[missing], counts))
-            known, at, size = self._cache
-            pos = np.searchsorted(known, keys)
-        piece = pos[inv]
-        ids = self._cache_ids[ranges(at[piece], size[piece])]
-        before = np.concatenate([[0], np.cumsum(size[piece])])
+        at, size = self.cache.slices(keys, lambda missing: self.merge(data, starts[first[missing]], ends[first[missing]]))
+        ids = self.cache.flat[ranges(at[inv], size[inv])]
+        before = np.concatenate([[0], np.cumsum(size[inv])])
         return ids, before[np.searchsorted(starts, offs)]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +352,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         vocab = vocabulary(path)
         for b in batches:
-            for lo, hi, data, offs in text_blocks(b.column(1)):
+            for lo, hi, data, offs in text_blocks(b.column(1), BLOCK_BYTES):
                 ids, rows = vocab.encode(data, offs)
                 _, at = vocab.decode(ids)
                 starts = [at[rows[i] : rows[i + 1] + 1] - at[rows[i]] for i in range(hi - lo)]
@@ -393,7 +381,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         vocab = vocabulary(path)
         for b in batches:
-            for lo, hi, data, offs in text_blocks(b.column(1)):
+            for lo, hi, data, offs in text_blocks(b.column(1), BLOCK_BYTES):
                 ids, rows = vocab.encode(data, offs)
                 raw, raw_at = vocab.decode(ids)
                 text, text_at = vocab.decimals(ids)

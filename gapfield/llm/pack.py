@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .blocks import text_blocks
-from .bpe import vocabulary
+from .bpe import BLOCK_BYTES, vocabulary
 from .common import staged
 
 CAPACITY = 2048
@@ -60,7 +60,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = F
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            for lo, hi, data, offs in text_blocks(b.column(1)):
+            for lo, hi, data, offs in text_blocks(b.column(1), BLOCK_BYTES):
                 own, rows = vocab.encode(data, offs)
                 cols = defaultdict(list)
                 for i, ids in enumerate(_with_special(own, rows, data, offs, path)):
