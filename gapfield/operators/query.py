@@ -294,6 +294,56 @@ def _candidate_mode(points, fields, voxels, candidates) -> DataFrame:
     return rich.unionByName(plain)
 
 
+def candidate_table(voxels: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row per voxel with its value, normal and the list of its candidates by rank (at most 8).
+
+    A query in the mode with candidates is then one equi-join and an expression over the list, so it also serves streams.
+    """
+    item = F.struct("rank", *[F.col(c).cast("double").alias(c) for c in ("phi", "nx", "ny", "nz")], "branch_id")
+    listed = candidates.filter(F.col("rank") < MAX_CANDIDATES).groupBy("field_id", *grid.IJK).agg(F.array_sort(F.collect_list(item)).alias("candidates"))
+    own = voxels.select("field_id", *grid.IJK, *[F.col(c).cast("double").alias(c) for c in ("phi", "nx", "ny", "nz")])
+    return own.join(listed, ["field_id", *grid.IJK], "full")
+
+
+def _candidate_lookup(points: DataFrame, fields: DataFrame, table: DataFrame, cells: DataFrame) -> DataFrame:
+    """As :func:`_candidate_mode`, from :func:`candidate_table` and the cell table."""
+    stride = F.coalesce(F.col("stride"), F.lit(0))
+    has, hasnt = fields.filter(stride > 0), fields.filter(stride <= 0)
+    base = _base(points)
+    rows = table.select(
+        "field_id", *[F.col(n).cast("bigint").alias(f"_{n}") for n in grid.IJK],
+        *[F.col(c).alias(f"v_{c}") for c in ("phi", "nx", "ny", "nz")], F.col("candidates").alias("_list"),
+    )
+    own = points.join(hasnt.select("field_id"), "field_id", "left_anti").select(*points.columns)
+    d = at_nearest(own, has).join(rows, KEY, "left")
+    d = d.withColumns((V3.of() - V3.of("_m")).named("_d"))
+
+    def answer(c: Column) -> Column:
+        raw = V3(c["nx"], c["ny"], c["nz"])
+        n = unit(raw, raw.norm())
+        gap = c["phi"] + n.dot(V3.of("_d"))
+        return F.struct(F.abs(gap).alias("size"), c["rank"].alias("rank"), gap.alias("gap"), n.struct().alias("n"), c["branch_id"].alias("branch_id"))
+
+    # a point outside the grid has no list, whatever row its clamped index met
+    d = d.withColumn("_list", F.when(F.col("_in"), F.transform("_list", answer)))
+    d = d.withColumn("_best", F.array_min("_list"))
+    got = F.col("_best").isNotNull()
+    first = F.col("v_phi") + V3.of("v_n").dot(V3.of("_d"))
+    n = V3.field(F.col("_best")["n"])
+    n = V3(*(F.when(got, b).otherwise(F.col(f"v_n{a}")) for a, b in zip(AXES, n)))
+    ok = F.col("_in") & (F.col("v_phi").isNotNull() | got)
+    p = V3.of()
+
+    def listed(e: Column) -> Column:
+        w = p - V3.field(e["n"]) * e["gap"]
+        return F.struct(e["gap"].alias("gap"), e["n"].alias("n"), w.struct().alias("witness"), e["branch_id"].alias("branch_id"))
+
+    rich = _finish(d, base, ok, F.when(got, F.col("_best")["gap"]).otherwise(first), n, {"candidates": F.transform("_list", listed)})
+    plain = _cell_mode(points.join(hasnt.select("field_id"), "field_id", "left_semi"), hasnt, None, cells, cubic=True)
+    plain = plain.select(*base, "valid", *RESULT, F.lit(None).cast(rich.schema["candidates"].dataType).alias("candidates"))
+    return rich.select(*plain.columns).unionByName(plain)
+
+
 # ---- public ----------------------------------------------------------------------------
 
 MODES = ("first", "second", "trilinear", "tricubic", "candidates")
@@ -307,11 +357,13 @@ def query(
     *,
     cells: DataFrame | None = None,
     candidates: DataFrame | None = None,
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """Answer all points in one of :data:`MODES`. A point whose field is unknown is not valid.
 
     ``cells`` (from :func:`cell_table`) replaces ``voxels`` in the two cell modes and needs no
-    aggregation, so it also serves streams.
+    aggregation, so it also serves streams. ``table`` (from :func:`candidate_table`) with ``cells`` does so
+    for candidates.
     """
     if mode == "first":
         return _taylor(points, fields, voxels, second=False)
@@ -320,6 +372,8 @@ def query(
     if mode in ("trilinear", "tricubic"):
         return _cell_mode(points, fields, voxels, cells, cubic=mode == "tricubic")
     if mode == "candidates":
+        if table is not None:
+            return _candidate_lookup(points, fields, table, cells)
         return _candidate_mode(points, fields, voxels, candidates)
     raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")
 
