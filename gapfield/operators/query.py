@@ -8,11 +8,14 @@ also return the raw gradient ``gx gy gz``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..functions.vec import AXES, V3, ratio, unit
+from .blocks import STRIDES, over_blocks
 
 # index columns on the point side carry an underscore, so that a caller's own i, j, k survive
 PIJK = ("_i", "_j", "_k")
@@ -195,29 +198,26 @@ def _tag(corner) -> str:
 def cell_table(voxels: DataFrame, cubic: bool = True) -> DataFrame:
     """One row per complete cell with the values of its eight corners (``phi_000`` .. ``nz_111``).
 
-    ``corner`` digits are the x, y, z offsets. One shuffle: each voxel is sent to the cells it
-    is a corner of. A query is then a single equi-join.
+    ``corner`` digits are the x, y, z offsets. One shuffle: the corners are read from the array of the
+    block that holds the lowest one. A query is then a single equi-join.
     """
     cols = ["phi", "nx", "ny", "nz"] if cubic else ["phi"]
-    offs = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(n).alias("n"))
-            for n, (a, b, c) in enumerate(CORNERS)
-        ]
-    )
-    v = voxels.select(
-        "field_id", *grid.IJK, *[F.col(c).cast("double").alias(c) for c in cols], F.explode(offs).alias("_o")
-    )
-    v = v.select(
-        "field_id", *[(F.col(n) - F.col(f"_o.{o}")).cast("bigint").alias(n) for n, o in zip(grid.IJK, "abc")],
-        *cols, F.col("_o.n").alias("_n"),
-    )
-    aggs = [
-        F.max(F.when(F.col("_n") == n, F.col(c))).alias(f"{c}_{_tag(corner)}")
-        for n, corner in enumerate(CORNERS)
-        for c in cols
-    ]
-    return v.groupBy("field_id", *grid.IJK).agg(F.count("phi").alias("_cnt"), *aggs).filter(F.col("_cnt") == 8).drop("_cnt")
+    names = [(c, corner) for corner in CORNERS for c in cols]
+    kind = voxels.schema["field_id"].dataType.simpleString()
+    schema = f"field_id {kind}, i bigint, j bigint, k bigint, " + ", ".join(f"{c}_{_tag(corner)} double" for c, corner in names)
+
+    def make(rows: pa.RecordBatch, at: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+        step = {corner: sum(o * s for o, s in zip(corner, STRIDES)) for corner in CORNERS}
+        full = np.flatnonzero(~np.isnan(np.stack([arrays[0][at + s] for s in step.values()])).any(0))
+        rows, at = rows.take(pa.array(full)), at[full]
+        by_name = dict(zip(cols, arrays))
+        out = [by_name[c][at + step[corner]] for c, corner in names]
+        values = [pa.array(x, mask=np.isnan(x)) for x in out]
+        keys = [rows.column("field_id"), *(rows.column(n) for n in grid.IJK)]
+        return pa.RecordBatch.from_arrays([*keys, *values], ["field_id", *grid.IJK, *(f"{c}_{_tag(corner)}" for c, corner in names)])
+
+    own = voxels.select("field_id", *[F.col(n).cast("bigint").alias(n) for n in grid.IJK], *[F.col(c).cast("double").alias(c) for c in cols])
+    return over_blocks(own, "upper", cols, make, schema)
 
 
 def _by_cells(points, fields, cells, cubic: bool) -> DataFrame:

@@ -47,12 +47,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_slots(spark: SparkSession) -> int:
+    """Partitions for rows that are dealt by hand: the shuffle's number, all cores at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, *cols) -> DataFrame:
     """Hash rows over all task slots before each of them grows into many.
 
     The partition count is explicit, because adaptive execution would otherwise merge the few
     small input rows back into one task and the growth would happen there.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *cols)
+    return df.repartition(task_slots(df.sparkSession), *cols)
