@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from gapfield.sources import field_files, field_source
+from gapfield.operators import query as Q
+from gapfield.sources import field_files, field_source, store
 
+from . import fields as FQ
 from . import sql as S
 from . import tables as T
 from .evaluation import shared_folder
-from .registry import query, rounded
+from .registry import query, rounded, session_with
 
 X = S.X
 STRIDE, DIM = 3, 4
@@ -79,8 +82,8 @@ def written(spark, sf) -> str:
 
 
 def _source(spark, folder: str, table: str):
+    spark = session_with(spark, **{"spark.sql.python.filterPushdown.enabled": "true"})
     field_source.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format(field_source.NAME).option("path", f"{folder}/*.sdf").option("table", table).load()
 
 
@@ -133,3 +136,42 @@ def field_import_layouts(spark, sf):
 
 def _typed(d, values):
     return rounded(d.withColumns({c: F.col(c).cast("bigint") for c in ("field_id", "i", "j", "k")}), values, 5)
+
+
+# ---- bucketed store ---------------------------------------------------------------------------------
+
+CO_LOCATED = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+
+def bucketed(spark, sf, rows):
+    """The rows written as a bucketed table, attached under another name as a later session would."""
+    own = session_with(spark, **CO_LOCATED)
+    name, path, n = f"gf_{uuid.uuid4().hex}", shared_folder(spark), int(own.conf.get("spark.sql.shuffle.partitions"))
+    store.write_bucketed(rows(own, sf), name, path, n)
+    own.sql(f"DROP TABLE {name}")
+    return own, store.attach_bucketed(own, name, path, n)
+
+
+@query("bucketed_second", S.with_(*FQ.BASE, FQ.TAYLOR, FQ.SECOND) + FQ._results("se", "ok"))
+def bucketed_second(spark, sf):
+    """Points against stored voxels that stay in their buckets."""
+    own, v = bucketed(spark, sf, T.sphere_voxels)
+    r = Q.query(T.sphere_points(own, sf), T.sphere_fields(own, sf), v, "second")
+    return rounded(r.select("field_id", "qid", "valid", *FQ.VALS), FQ.VALS)
+
+
+@query("bucketed_tricubic", S.with_(*FQ.BASE, FQ.CORNERS, FQ._cell(True, "tc")) + FQ._results("tc", "ok"))
+def bucketed_tricubic(spark, sf):
+    """The same against a stored cell table."""
+    own, c = bucketed(spark, sf, lambda s, d: Q.cell_table(T.sphere_voxels(s, d, hess=False)))
+    r = Q.query(T.sphere_points(own, sf), T.sphere_fields(own, sf), None, "tricubic", cells=c)
+    return rounded(r.select("field_id", "qid", "valid", *FQ.VALS), FQ.VALS)
+
+
+@query("field_store_one", S.with_(S.SPHERES) + f"SELECT field_id, i, j, k, {S.r6s(['phi', 'nx'])} FROM vox WHERE field_id = 3")
+def field_store_one(spark, sf):
+    """One field out of a store of all."""
+    root = shared_folder(spark)
+    store.write_field(T.sphere_fields(spark, sf), T.sphere_voxels(spark, sf, hess=False), root, mode="overwrite")
+    _, v = store.read_field(spark, root, 3)
+    return rounded(v.select("field_id", "i", "j", "k", "phi", "nx"), ["phi", "nx"])

@@ -23,6 +23,8 @@ KEY = ["field_id", *PIJK]
 POINT = ["field_id", "qid", *AXES]
 CORNERS = [(a, b, c) for c in (0, 1) for b in (0, 1) for a in (0, 1)]
 MAX_CANDIDATES = 8
+# Column of a bucketed table, and voxels along the edge of the blocks it names.
+STORED, STORED_DIM = "block", 8
 SPEC = ["field_id", "bminx", "bminy", "bminz", "voxx", "voxy", "voxz", "dimx", "dimy", "dimz"]
 VOX = ["voxx", "voxy", "voxz"]
 RESULT = ["gap", "nx", "ny", "nz", "wx", "wy", "wz"]
@@ -62,9 +64,23 @@ def nearest_voxel(points: DataFrame, fields: DataFrame, voxels: DataFrame, cols:
     """Left join to the voxel of each point: a point outside, or on a voxel not stored, gets NULLs."""
     v = voxels.select(
         "field_id", *[F.col(n).cast("bigint").alias(f"_{n}") for n in grid.IJK],
-        *[F.col(c).cast("double").alias(f"v_{c}") for c in cols],
+        *([F.col(STORED).alias("_block")] if STORED in voxels.columns else []), *[F.col(c).cast("double").alias(f"v_{c}") for c in cols],
     )
-    return at_nearest(points, fields).join(v, KEY, "left")
+    return _at_stored(at_nearest(points, fields), v).join(v, _stored_key(v), "left").drop("_block")
+
+
+def stored_block(idx: list[Column]) -> Column:
+    """Key of the block that a stored voxel is bucketed by."""
+    return grid.block_key(grid.block(idx, STORED_DIM))
+
+
+def _stored_key(side: DataFrame) -> list[str]:
+    """Join key of a voxel or cell table; a bucketed one is met by block as well, so that it stays where it is."""
+    return ["field_id", "_block", *PIJK] if "_block" in side.columns else KEY
+
+
+def _at_stored(points: DataFrame, side: DataFrame) -> DataFrame:
+    return points.withColumn("_block", stored_block([F.col(n) for n in PIJK])) if "_block" in side.columns else points
 
 
 def _taylor(points, fields, voxels, second: bool) -> DataFrame:
@@ -221,8 +237,8 @@ def cell_table(voxels: DataFrame, cubic: bool = True) -> DataFrame:
 
 
 def _by_cells(points, fields, cells, cubic: bool) -> DataFrame:
-    side = cells.withColumnsRenamed({n: f"_{n}" for n in grid.IJK})
-    d = at_cell(points, fields).join(side, KEY, "left")
+    side = cells.withColumnsRenamed({n: f"_{n}" for n in grid.IJK} | {STORED: "_block"})
+    d = _at_stored(at_cell(points, fields), side).join(side, _stored_key(side), "left").drop("_block")
     basis = {}
     for up in (0, 1):
         basis |= _axis_columns(cubic, [F.lit(up == 1)] * 3, tag=str(up))

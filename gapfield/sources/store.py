@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.grid import IJK
+from ..operators.query import STORED, stored_block
+
 BLOCK_ORDER = ("bk", "bj", "bi", "k", "j", "i")
 
 
@@ -45,9 +48,8 @@ def _read(spark: SparkSession, path: str, field_id) -> DataFrame:
     d = spark.read.parquet(path)
     if field_id is None:
         return d.drop(FOLDER)
-    # the folder prunes the files, the sorted id the row groups in them
-    folder = spark.range(1).select(_folder(F.lit(field_id))).first()[0]
-    return d.filter((F.col(FOLDER) == folder) & (F.col("field_id") == F.lit(field_id))).drop(FOLDER)
+    # the folder, a constant once the plan is optimized, prunes the files, the sorted id the row groups in them
+    return d.filter((F.col(FOLDER) == _folder(F.lit(field_id))) & (F.col("field_id") == F.lit(field_id))).drop(FOLDER)
 
 
 def read_field(spark: SparkSession, path: str, field_id: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -67,3 +69,25 @@ def append_rows(q: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append audit or benchmark rows; ``fmt`` is parquet, csv or json."""
     w = q.write.mode("append").format(fmt)
     (w.option("header", True) if fmt == "csv" else w).save(path)
+
+
+# ---- bucketed tables -------------------------------------------------------------------------
+
+
+def write_bucketed(rows: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Voxels or cells as a table bucketed by field and block, one file per bucket.
+
+    A query of such a table shuffles its points to the buckets, never the stored rows
+    (``spark.sql.requireAllClusterKeysForCoPartition`` must be false, as in :mod:`session`). Take as
+    many buckets as a query has shuffle partitions or more. A field spreads over all buckets by its blocks.
+    """
+    d = rows.withColumn(STORED, stored_block([F.col(n).cast("bigint") for n in IJK]))
+    d = d.repartition(buckets, "field_id", STORED)
+    d.write.mode("overwrite").option("path", path).bucketBy(buckets, "field_id", STORED).sortBy("field_id", STORED).format("parquet").saveAsTable(table)
+
+
+def attach_bucketed(spark: SparkSession, table: str, path: str, buckets: int) -> DataFrame:
+    """A table that :func:`write_bucketed` wrote, named in a session that does not know it."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({ddl}) USING parquet CLUSTERED BY (field_id, {STORED}) SORTED BY (field_id, {STORED}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
