@@ -80,7 +80,10 @@ def _stored_key(side: DataFrame) -> list[str]:
 
 
 def _at_stored(points: DataFrame, side: DataFrame) -> DataFrame:
-    return points.withColumn("_block", stored_block([F.col(n) for n in PIJK])) if "_block" in side.columns else points
+    """Points with their block, dealt like the buckets; a partitioning by field alone would draw the stored rows after it."""
+    if "_block" not in side.columns:
+        return points
+    return points.withColumn("_block", stored_block([F.col(n) for n in PIJK])).repartition("field_id", "_block")
 
 
 def _taylor(points, fields, voxels, second: bool) -> DataFrame:
