@@ -20,10 +20,10 @@ SHARED = os.environ.get("BENCH_SHARED")
 
 HEADLINE = (
     "tri_attributes", "nearest_triangle", "signed_distance", "candidate_topk", "points_in_radius", "box_overlap_pairs",
-    "nearest_triangle_fine", "build_dense", "build_sparse", "build_candidates", "voxel_hessian", "query_first", "query_second", "query_trilinear", "query_tricubic",
+    "nearest_triangle_fine", "build_dense", "build_sparse", "build_candidates", "build_candidates_untiled", "build_sparse_boxes", "voxel_hessian", "query_first", "query_second", "query_trilinear", "query_tricubic",
     "cell_table_trilinear", "repeated_tricubic", "query_candidates", "contact_wrench", "body_loads", "evaluate_contacts", "evaluate_measures", "torsion_plane",
     "contact_phases", "crossings", "signal_align", "signal_report", "merged_bodies", "obj_roundtrip", "entity_attrs",
-    "field_file_import", "stream_phases",
+    "field_file_import", "field_source_layouts", "bucketed_second", "sql_closest_point", "stream_phases", "stream_query_candidates",
 )
 
 
