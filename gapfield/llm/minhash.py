@@ -45,6 +45,8 @@ PILE_BYTES = 8 << 20
 BLOCK_NODES = 1024
 # Up to so many ids of candidate documents (16 bytes each) go to the texts; beyond, both are shuffled.
 BROADCAST_IDS = 1_000_000
+# Members that meet all members of their band at once; a pair takes about a kilobyte on the way.
+_ROWS = 48
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray):
@@ -165,8 +167,8 @@ def _candidates(keys: np.ndarray, block: np.ndarray):
         if hi - lo < 2:
             continue
         members, band = np.divmod(order[lo:hi], width)
-        for k in range(0, len(members), 256):
-            a, b = np.meshgrid(members[k : k + 256], members, indexing="ij")
+        for k in range(0, len(members), _ROWS):
+            a, b = np.meshgrid(members[k : k + _ROWS], members, indexing="ij")
             fit = (a < b) & (block[a] != block[b]) if cross else a < b
             a, b = a[fit], b[fit]
             first = (keys[a] == keys[b]).argmax(1) == band[0]
