@@ -407,3 +407,48 @@ def test_sector_merge_over_many_batches(spark):
         want = sorted(kept, key=lambda r: abs(r[5]))[:6]
         assert [(r.rank, r.phi, r.wz) for r in got if r.i == g] == [(k, r[5], r[11]) for k, r in enumerate(want)]
     assert sectors.merged(df.where("false"), ("field_id", "i"), "tri_id", "tol", cos, 6).count() == 0
+
+
+def test_phases_of_many_contacts_equal_those_of_each():
+    """Contacts stepped side by side, in two parts, as one by one in one."""
+    from gapfield.streaming.phases import START, step, steps
+
+    rng = np.random.default_rng(9)
+    p = phases.PhaseParams(stable_steps=2, release_steps=2)
+    parts = []
+    for _ in range(12):
+        n = int(rng.integers(1, 30))
+        gap = rng.choice([-0.2, -0.2, 0.0, 1e-6, 0.3], n)
+        parts.append(pd.DataFrame({"t": np.arange(n) * 1.0, "gap": gap, "penetration": np.maximum(0, -gap), "active_count": (gap < 0).astype(int), "normal_velocity": rng.choice([0.0, 1e-6, -1.0], n)}))
+    want = [step(x, START, p) for x in parts]
+    cut = [len(x) // 2 for x in parts]
+    carries = {k: START for k in range(12)}
+    got = {k: [] for k in range(12)}
+    for half in (0, 1):
+        own = [(k, x[: cut[k]] if half == 0 else x[cut[k] :]) for k, x in enumerate(parts)]
+        own = [(k, x) for k, x in own if len(x)]
+        starts = np.cumsum([0, *(len(x) for _, x in own)])[:-1]
+        out, after = steps(pd.concat([x for _, x in own], ignore_index=True), starts, tuple(map(np.array, zip(*(carries[k] for k, _ in own)))), p)
+        for (k, x), a in zip(own, starts):
+            got[k].append(out.iloc[a : a + len(x)])
+        for (k, _), c in zip(own, zip(*after)):
+            carries[k] = tuple(v.item() for v in c)
+    for k in range(12):
+        a = pd.concat(got[k], ignore_index=True)
+        assert a.equals(want[k][0].reset_index(drop=True)) and carries[k] == want[k][1]
+
+
+def test_pairs_within_the_nearest_and_more(spark):
+    v, f = sphere_mesh(6, 9)
+    f = np.vstack([f, f[:4]])
+    t = mesh.triangles(*mesh_frames(spark, v, f))
+    p = np.random.default_rng(3).uniform(-1.5, 1.5, (60, 3))
+    got = {}
+    for r in nearest.triangles_within(pts_frame(spark, p), t, F.lit(0.2), levels=2).select("qid", "tri_id").collect():
+        got.setdefault(r.qid, []).append(r.tri_id)
+    a, b, c = (v[f[:, q]] for q in range(3))
+    for i, x in enumerate(p):
+        d = np.sqrt(closest(x, a, b, c)[1])
+        assert set(np.flatnonzero(d <= d.min() + 0.2)) <= set(got[i]) and len(set(got[i])) == len(got[i])
+    d = {r.qid: r.d2 for r in nearest.nearest_distance(pts_frame(spark, p), t, levels=2).collect()}
+    assert all(d[i] == pytest.approx(closest(x, a, b, c)[1].min(), abs=1e-12) for i, x in enumerate(p))
