@@ -9,6 +9,7 @@ from ..functions.text import strip_comment
 from ..functions.triangle import face_normal
 from ..functions.vec import AXES, M3, V3, ratio
 from ..operators.ordered import running
+from ..session import cut_lineage
 from .lines import ORDER, read_lines
 
 # The header is a producer word ending in this suffix, followed by the version.
@@ -54,6 +55,8 @@ def parse_surfaces(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             "_tm": F.when(F.col("_t").isin("surface", "transform"), F.struct(F.col("_t").alias("t"), F.col("_num").alias("m"))),
         },
     ).filter(~F.col("_blank"))
+    # some twenty branches read the parsed lines: they are stored once
+    d = cut_lineage(d)
     header = F.col("_filled") == 1
     active = F.coalesce(F.col("_state.t") == "surface", F.lit(False))
 
