@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gapfield.functions import grid
-from gapfield.functions.triangle import RAY_DIR, box_ray, branch_id, closest_point, edge_dots
+from gapfield.functions.triangle import RAY_DIR, branch_id, closest_point, edge_dots
 from gapfield.functions.vec import AXES, V3, unit
 from gapfield.operators import bins, candidates, mesh, nearest
 from gapfield.sources import model_text, obj
@@ -291,6 +291,6 @@ h AS (SELECT qid, greatest(0e0, {", ".join(f"least(s{a}, e{a})" for a in X)}) AS
 def box_rays(spark, sf):
     """How many triangle boxes of its mesh the ray of every point enters."""
     b = T.tris(spark, sf).select("mesh_id", *[f"{q}{a}" for q in ("bmin", "bmax") for a in AXES])
-    d = T.mesh_points(spark, sf).join(b, "mesh_id")
-    hit = box_ray(V3.of(), V3.of("bmin"), V3.of("bmax"))
-    return d.groupBy("qid").agg(F.count_if(hit).alias("boxes"))
+    p = T.mesh_points(spark, sf)
+    d = p.select("mesh_id", "qid").join(nearest.ray_boxes(p, b), ["mesh_id", "qid"], "left")
+    return d.select("qid", F.coalesce("boxes", F.lit(0)).cast("bigint").alias("boxes"))

@@ -336,12 +336,12 @@ def torsion_diagnostics(points: DataFrame, keys: Sequence[str] = ("label",)) ->
 def convergence(diagnostics: DataFrame, size: Column, series: Sequence[str] = ()) -> DataFrame:
     """Errors by size with a first-order reference line through the smallest size.
 
-    The anchor is one row per series, found by aggregation.
+    The anchor is one row per series, found by aggregation; without series it is a scalar subquery.
     """
     d = diagnostics.withColumn("size", size.cast("double"))
     first = d.groupBy(*series).agg(F.min(F.struct("size", "torque_error")).alias("_a"))
     radius_error = ratio(F.abs(F.col("spin_radius") - F.col("radius_exact")), F.col("radius_exact"))
-    j = d.join(first, list(series)) if series else d.join(first)
+    j = d.join(first, list(series)) if series else d.withColumn("_a", first.select("_a").scalar())
     ref = F.col("_a.torque_error") * ratio(F.col("_a.size"), F.col("size"))
     return j.withColumns({"radius_error": radius_error, "reference": ref}).drop("_a")
 

@@ -145,3 +145,13 @@ def test_a_batch_that_runs_again_is_written_once(spark, fmt):
 def test_a_session_of_ones_own_leaves_the_given_one_alone(spark):
     own = registry.session_with(spark, **{"spark.sql.shuffle.partitions": "3"})
     assert own.conf.get("spark.sql.shuffle.partitions") == "3" and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_convergence_without_series_has_no_nested_loop(spark):
+    from gapfield.operators import contact
+
+    rows = [(10.0, 0.4, 0.5, 0.52), (20.0, 0.2, 0.5, 0.51), (40.0, 0.11, 0.5, 0.502)]
+    d = spark.createDataFrame(rows, "n double, torque_error double, radius_exact double, spin_radius double")
+    c = contact.convergence(d, F.col("n"))
+    assert "NestedLoop" not in plan(c) and "Cartesian" not in plan(c)
+    assert [r.reference for r in c.orderBy("size").collect()] == pytest.approx([0.4, 0.2, 0.1])
