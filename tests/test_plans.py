@@ -7,10 +7,11 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from checks import files, registry, tables, text
+from checks import evaluation, files, registry, tables, text
 from gapfield.functions import sql as sql_functions
 from gapfield.operators import blocks, hessian
 from gapfield.operators import query as Q
+from gapfield.plans import evaluate
 from gapfield.sources import field_files, field_source
 from gapfield.streaming.audit import ObservedGroups
 from gapfield.streaming.sink import append_stream, read_appended
@@ -155,3 +156,32 @@ def test_convergence_without_series_has_no_nested_loop(spark):
     c = contact.convergence(d, F.col("n"))
     assert "NestedLoop" not in plan(c) and "Cartesian" not in plan(c)
     assert [r.reference for r in c.orderBy("size").collect()] == pytest.approx([0.4, 0.2, 0.1])
+
+
+def test_sides_grown_from_few_rows_are_not_broadcast(spark):
+    """Spark sizes an exploded table by what it was exploded from; a voxel table must not pass the driver for that."""
+    pts, f, v = tables.sphere_points(spark, DATA), tables.sphere_fields(spark, DATA), tables.sphere_voxels(spark, DATA)
+    cand, cells = tables.sphere_candidates(spark, DATA), Q.cell_table(v)
+    asked = {
+        "first": {}, "second": {}, "trilinear": {}, "tricubic": {}, "trilinear cells": {"cells": cells}, "tricubic cells": {"cells": cells},
+        "candidates": {"candidates": cand}, "candidates table": {"cells": cells, "table": Q.candidate_table(v, cand)},
+    }
+    for mode, more in asked.items():
+        text = plan(Q.query(pts, f, v, mode.split()[0], **more))
+        assert not grown_and_broadcast(text), mode
+    assert not grown_and_broadcast(plan(tables.narrow_band(v)))
+    poses, contacts = evaluation.moving_bodies(spark, DATA)
+    assert not grown_and_broadcast(plan(evaluate.pair_poses(contacts, poses)))
+
+
+def grown_and_broadcast(text: str) -> list[str]:
+    """The broadcasts of a plan that hold an explode."""
+    lines = text.splitlines()
+    depth = [len(re.match(r"[\s:+*|-]*(\(\d+\) )?", x).group()) - len(re.match(r"[\s:+*|-]*(\(\d+\) )?", x).group(1) or "") for x in lines]
+    out = []
+    for n, x in enumerate(lines):
+        if "BroadcastExchange" not in x:
+            continue
+        end = next((m for m in range(n + 1, len(lines)) if depth[m] <= depth[n]), len(lines))
+        out += [x for y in lines[n + 1 : end] if re.search(r"\bGenerate ", y)]
+    return out
