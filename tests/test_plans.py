@@ -7,9 +7,9 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from checks import evaluation, files, registry, tables, text
+from checks import evaluation, files, geometry, registry, tables, text
 from gapfield.functions import sql as sql_functions
-from gapfield.operators import blocks, hessian
+from gapfield.operators import blocks, candidates, hessian
 from gapfield.operators import query as Q
 from gapfield.plans import evaluate
 from gapfield.sources import field_files, field_source
@@ -185,3 +185,18 @@ def grown_and_broadcast(text: str) -> list[str]:
         end = next((m for m in range(n + 1, len(lines)) if depth[m] <= depth[n]), len(lines))
         out += [x for y in lines[n + 1 : end] if re.search(r"\bGenerate ", y)]
     return out
+
+
+def test_candidate_pairs_are_neither_sorted_nor_stored(spark):
+    pts, tris = tables.mesh_points(spark, DATA).limit(200).localCheckpoint(), tables.tris(spark, DATA)
+    own = candidates.pairs_within(pts, tris, F.lit(0.05), 0.25)
+    assert "Window" not in plan(own)
+    want = candidates.within_tolerance(candidates.near_pairs(pts, tris, 0.25), F.lit(0.05), ["mesh_id", "qid"], reach=0.25)
+    key = ["mesh_id", "qid", "tri_id", "dist", "phi"]
+    rows = sorted(want.select(*key).collect())
+    assert rows and sorted(own.select(*key).collect()) == rows
+
+
+def test_candidate_topk_sorts_no_window_over_all_pairs(spark):
+    text_ = plan(geometry.candidate_topk(spark, DATA))
+    assert len(re.findall(r"\bWindow \[", text_)) == 1
