@@ -200,3 +200,23 @@ def test_candidate_pairs_are_neither_sorted_nor_stored(spark):
 def test_candidate_topk_sorts_no_window_over_all_pairs(spark):
     text_ = plan(geometry.candidate_topk(spark, DATA))
     assert len(re.findall(r"\bWindow \[", text_)) == 1
+
+
+def test_points_are_not_joined_by_a_broadcast_of_all_orders(spark):
+    """Spark sizes the totals of the line items by the compressed columns they are read from; in memory they take many times that."""
+    for d in (tables.sphere_points(spark, DATA), registry.QUERIES["surface_accuracy"](spark, DATA)):
+        text = plan(d)
+        assert "SortMergeJoin" in text
+        assert not [x for x in broadcast_parts(text) if "lineitem" in x or "l_orderkey" in x]
+
+
+def broadcast_parts(text: str) -> list[str]:
+    """The parts of a plan below its broadcasts."""
+    lines = text.splitlines()
+    depth = [len(re.match(r"[\s:+*|-]*", x).group()) for x in lines]
+    out = []
+    for n, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((m for m in range(n + 1, len(lines)) if depth[m] <= depth[n]), len(lines))
+            out.append("\n".join(lines[n + 1 : end]))
+    return out
