@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import evaluation, files, geometry, registry, tables, text
 from gapfield.functions import sql as sql_functions
-from gapfield.operators import blocks, candidates, hessian
+from gapfield.operators import blocks, candidates, hessian, nearest
 from gapfield.operators import query as Q
 from gapfield.plans import evaluate
 from gapfield.sources import field_files, field_source
@@ -220,3 +220,23 @@ def broadcast_parts(text: str) -> list[str]:
             end = next((m for m in range(n + 1, len(lines)) if depth[m] <= depth[n]), len(lines))
             out.append("\n".join(lines[n + 1 : end]))
     return out
+
+
+def test_nearest_triangles_are_found_without_sorting_the_pairs(spark):
+    """The smallest of (distance, id) is a sort aggregate over all pairs of points and triangles; plain numbers are hashed."""
+    for name in ("nearest_triangle", "signed_distance"):
+        text = plan(registry.QUERIES[name](spark, DATA))
+        pairs = [x for x in text.splitlines() if "SortAggregate" in x and "d2" in x]
+        assert not pairs and "_least" in text
+
+
+def test_points_of_a_search_are_not_broadcast(spark):
+    text = plan(registry.QUERIES["nearest_triangle"](spark, DATA))
+    assert not [x for x in broadcast_parts(text) if "_tx" in x and "AS qid" in x]
+
+
+def test_many_triangles_are_shuffled_with_the_same_result(spark, monkeypatch):
+    near = lambda: sorted(map(tuple, registry.QUERIES["nearest_triangle"](spark, DATA).collect()))
+    few = near()
+    monkeypatch.setattr(nearest, "FEW", 0)
+    assert near() == few and len(few) == tables.mesh_points(spark, DATA).count()
