@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import functions as F
 
@@ -239,17 +240,20 @@ def write_field_files(voxels, folder: str) -> int:
     """One dense file per field of 8 voxels along each axis, written by the tasks; the number of files."""
     columns = [["phi"], ["nx", "ny", "nz"], ["wx", "wy", "wz"]]
 
-    def one(pdf):
-        pdf = pdf.sort_values(["k", "j", "i"])
-        head = field_files.HEADER.pack(field_files.MAGIC, field_files.VERSION, 8, 8, 8, *[-1.0] * 3, *[1.0] * 3, *[0.25] * 3, 0, (1).to_bytes(4, "little").ljust(32, b"\0"))
+    head = field_files.HEADER.pack(field_files.MAGIC, field_files.VERSION, 8, 8, 8, *[-1.0] * 3, *[1.0] * 3, *[0.25] * 3, 0, (1).to_bytes(4, "little").ljust(32, b"\0"))
+
+    def several(pdf):
         system, base = fs.FileSystem.from_uri(folder)
-        with system.open_output_stream(f"{base}/{pdf['field_id'].iloc[0]}.sdf") as f:
-            f.write(head + b"".join(pdf[c].to_numpy("<f8").tobytes() for c in columns))
-        return pdf[["field_id"]].head(1)
+        written = pdf.sort_values(["field_id", "k", "j", "i"]).groupby("field_id")
+        for key, one in written:
+            with system.open_output_stream(f"{base}/{key}.sdf") as f:
+                f.write(head + b"".join(one[c].to_numpy("<f8").tobytes() for c in columns))
+        return pd.DataFrame({"field_id": list(written.groups)})
 
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
-    return voxels.groupBy("field_id").applyInPandas(one, "field_id bigint").count()
+    # neighbours by key share a group of rows
+    return voxels.groupBy(F.floor(F.col("field_id") / 32)).applyInPandas(several, "field_id bigint").count()
 
 
 @query("field_file_import", S.with_(S.SPHERES) + "SELECT field_id, i, j, k, " + ", ".join(S.r6(c) for c in ("phi", "nx", "ny", "nz")) + ", " + S.r6("(i+5e-1)*25e-2-1e0 - phi*nx", "wx") + " FROM vox")

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from types import SimpleNamespace
+from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, spread, task_slots
 
 # Fixed values of the file format: magic, version 0.1.0, flag bits, layout codes, header layout.
 MAGIC = b"SDFO"
@@ -128,52 +131,71 @@ def _slice(spec, wanted: list[str]) -> Iterator[tuple[np.ndarray, dict[str, np.n
         return
     width = 16 + _size(sections, cells)
     raw = _read(spec.path, [(HEADER.size + spec.first * width, spec.count * width)])[0]
+    rows = np.frombuffer(raw, "u1").reshape(spec.count, width)
     lin, d = np.arange(cells), spec.block_dim
     local = np.stack([lin % d, lin // d % d, lin // (d * d)], 1)
-    for b in range(spec.count):
-        at = b * width
-        index = np.frombuffer(raw, "<i4", 3, at) * d + local
-        inside = ((index >= 0) & (index < (nx, ny, nz))).all(1)
-        at, arrays = at + 16, {}
-        for name, (t, n) in sections.items():
-            if name in wanted:
-                arrays[name] = np.frombuffer(raw, t, n * cells, at).reshape(cells, n)[inside]
-            at += np.dtype(t).itemsize * n * cells
-        yield index[inside], arrays
+    index = (rows[:, :12].copy().view("<i4")[:, None, :] * d + local).reshape(-1, 3)
+    inside = ((index >= 0) & (index < (nx, ny, nz))).all(1)
+    at, arrays = 16, {}
+    for name, (t, n) in sections.items():
+        size = np.dtype(t).itemsize * n * cells
+        if name in wanted:
+            arrays[name] = rows[:, at : at + size].copy().view(t).reshape(-1, n)[inside]
+        at += size
+    yield index[inside], arrays
+
+
+def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``SLICE`` rows: many files hold few rows each."""
+    held, rows = [], 0
+    for part in parts:
+        held.append(part)
+        rows += part.num_rows
+        if rows >= SLICE:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _each_slice(wanted: list[str], emit):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for spec in pdf.itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                spec = SimpleNamespace(**row)
                 for index, arrays in _slice(spec, wanted):
-                    where = {"field_id": np.full(len(index), spec.field_id, object)} | {c: index[:, q].astype("int32") for q, c in enumerate("ijk")}
-                    yield emit(spec, where, arrays)
+                    yield emit(spec, index, arrays)
+
+    return lambda batches: gathered(run(batches))
 
-    return run
 
+def _place(spec, index: np.ndarray) -> dict[str, pa.Array]:
+    field = pa.DictionaryArray.from_arrays(np.zeros(len(index), np.int32), [str(spec.field_id)]).cast(pa.string())
+    return {"field_id": field} | {c: pa.array(index[:, q].astype("int32")) for q, c in enumerate("ijk")}
 
-def _voxel_rows(spec, where, arrays) -> pd.DataFrame:
-    out = pd.DataFrame(where)
-    for q, c in enumerate(("bi", "bj", "bk")):
-        out[c] = (where["ijk"[q]] // spec.block_dim).astype("int32")
+
+def _voxel_rows(spec, index, arrays) -> pa.RecordBatch:
+    """Voxels of a slice; second derivatives and closest points that its layout does not store are null."""
+    out = _place(spec, index) | {c: pa.array((index[:, q] // spec.block_dim).astype("int32")) for q, c in enumerate(("bi", "bj", "bk"))}
     for name, columns in (("phi", ["phi"]), ("n", ["nx", "ny", "nz"]), ("h", HESSIAN), ("w", ["wx", "wy", "wz"])):
         for q, c in enumerate(columns):
-            out[c] = arrays[name][:, q].astype("float64") if name in arrays else np.full(len(out), np.nan)
-    return out
+            value = arrays[name][:, q].astype("float64") if name in arrays else None
+            optional = name in ("h", "w")
+            out[c] = pa.nulls(len(index), pa.float64()) if value is None or optional and np.isnan(value).all() else pa.array(value)
+    return pa.RecordBatch.from_pydict(out)
 
 
-def _candidate_rows(spec, where, arrays) -> pd.DataFrame:
+def _candidate_rows(spec, index, arrays) -> pa.RecordBatch:
     cell, rank = np.nonzero(np.arange(spec.stride) < arrays["count"])
-    out = pd.DataFrame({c: v[cell] for c, v in where.items()})
     normal = arrays["cn"].reshape(-1, spec.stride, 3)
     values = {"phi": arrays["cphi"][cell, rank], **{f"n{a}": normal[cell, rank, q] for q, a in enumerate("xyz")}}
-    return out.assign(rank=rank.astype("int32"), **{c: v.astype("float64") for c, v in values.items()}, branch_id=arrays["cid"][cell, rank].astype("int64"))
+    out = _place(spec, index[cell]) | {"rank": pa.array(rank.astype("int32"))} | {c: pa.array(v.astype("float64")) for c, v in values.items()}
+    return pa.RecordBatch.from_pydict(out | {"branch_id": pa.array(arrays["cid"][cell, rank].astype("int64"))})
 
 
-def _count_defects(spec, where, arrays) -> pd.DataFrame:
+def _count_defects(spec, index, arrays) -> pa.RecordBatch:
     bad = bool((arrays["count"] > spec.stride).any())
-    return pd.DataFrame({"field_id": np.full(int(bad), spec.field_id, object)})
+    return pa.RecordBatch.from_pydict({"field_id": pa.array([spec.field_id] * bad, pa.string())})
 
 
 def _slices(heads: DataFrame) -> DataFrame:
@@ -187,24 +209,41 @@ def _slices(heads: DataFrame) -> DataFrame:
     return spread(d.select(*SPEC), "path", "first")
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files under a glob, in as many partitions as there are task slots.
+
+    A pattern in the last part alone is a filter on one listed folder; Spark would list each file that a glob
+    names by a task of its own.
+    """
+    read = spark.read.format("binaryFile")
+    folder, _, pattern = path.rpartition("/")
+    if folder and "*" in pattern and not set("*?[]{}\\,") & set(folder) and not set("\\,") & set(pattern):
+        # files of folders within that folder are not meant; seen, they would be taken for partitions
+        d = read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+        tail = urlsplit(folder).path.rstrip("/") if ":" in folder else folder.rstrip("/")
+        d = d.where(F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)").endswith(tail))
+    else:
+        d = read.load(path)
+    return d.select("path", "length").coalesce(task_slots(spark))
+
+
 def import_field_files(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """``fields``, ``voxels``, ``candidates`` and ``defects`` of all files under a glob.
 
     A file with a bad header, too few bytes, or a candidate count above its stride becomes a defect
     row, and none of its rows are kept. Values that a layout does not store are NULL.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    heads = cut_lineage(files.mapInPandas(_headers, HEAD))
+    heads = cut_lineage(_files(spark, path).mapInPandas(_headers, HEAD))
     sound = heads.where("defect is null")
-    counted = _slices(sound.where("stride > 0")).mapInPandas(_each_slice(["count"], _count_defects), "field_id string")
+    counted = _slices(sound.where("stride > 0")).mapInArrow(_each_slice(["count"], _count_defects), "field_id string")
     miscounted = cut_lineage(counted.distinct())
     good = sound.join(miscounted, "field_id", "left_anti")
     reals = "rank int, phi double, nx double, ny double, nz double, branch_id bigint"
-    voxels = _slices(good).mapInPandas(_each_slice(["phi", "n", "h", "w"], _voxel_rows), f"{PLACE}, bi int, bj int, bk int, " + ", ".join(f"{c} double" for c in VOXEL))
+    voxels = _slices(good).mapInArrow(_each_slice(["phi", "n", "h", "w"], _voxel_rows), f"{PLACE}, bi int, bj int, bk int, " + ", ".join(f"{c} double" for c in VOXEL))
     optional = {c: F.when(~F.isnan(c), F.col(c)) for c in (*HESSIAN, "wx", "wy", "wz")}
     return {
         "fields": good.drop("path", "defect", "blocks"),
         "voxels": voxels.withColumns(optional),
-        "candidates": _slices(good.where("stride > 0")).mapInPandas(_each_slice(["count", "cphi", "cn", "cid"], _candidate_rows), f"{PLACE}, {reals}"),
+        "candidates": _slices(good.where("stride > 0")).mapInArrow(_each_slice(["count", "cphi", "cn", "cid"], _candidate_rows), f"{PLACE}, {reals}"),
         "defects": heads.where("defect is not null").select("field_id", F.col("defect").alias("kind")).unionByName(miscounted.select("field_id", F.lit("bad_candidate_count").alias("kind"))),
     }

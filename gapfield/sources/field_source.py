@@ -8,6 +8,10 @@ sparse file are in order of z, found by bisection of their 16-byte heads). Spark
 Options: ``path`` (a folder or a glob of one, any URI that pyarrow opens), ``table``: ``voxels`` (default),
 ``candidates``, or ``defects``; a file with a bad header or too few bytes has one row there and none elsewhere.
 Pushdown needs ``spark.sql.python.filterPushdown.enabled``.
+
+Of at most ``PLANNED`` files the headers are read where partitions are made, and every slice is a partition. Of more,
+only those larger than ``WHOLE`` bytes are: the others are dealt to partitions whole, by the listing alone, and
+their headers are read in the tasks, so tasks grow with the bytes and not with the files.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
 )
 
-from .field_files import HEADER, HESSIAN, PLACE, SLICE, VOXEL, _candidate_rows, _read, _sections, _size, _slice, _voxel_rows, parse_header
+from .field_files import HEADER, PLACE, SLICE, VOXEL, _candidate_rows, _read, _sections, _size, _slice, _voxel_rows, gathered, parse_header
 
 NAME = "field_files"
 SCHEMAS = {
@@ -35,6 +39,12 @@ SCHEMAS = {
 ARRAYS = {"voxels": ["phi", "n", "h", "w"], "candidates": ["count", "cphi", "cn", "cid"]}
 
 
+# Files whose headers are read before there are tasks, and the least size of a file for it where there are more.
+PLANNED, WHOLE = 64, 8 << 20
+# What a partition of whole files holds, in bytes; opening a file counts as so many.
+TOGETHER, OPENING = 32 << 20, 64 << 10
+
+
 class Slice(InputPartition):
     """Cells (or blocks) ``first`` to ``first + count`` of one file, or a defect of it."""
 
@@ -42,6 +52,13 @@ class Slice(InputPartition):
         self.head, self.first, self.count, self.defect = head, first, count, defect
 
 
+class Whole(InputPartition):
+    """Files (URI, bytes) that one task reads, headers included, within the layers asked for."""
+
+    def __init__(self, files: list[tuple[str, int]], layers: list[int]):
+        self.files, self.layers = files, layers
+
+
 def listed(path: str) -> list[tuple[str, int]]:
     """(URI, bytes) of the files of a folder, or of those that match the pattern in the last part of the path."""
     folder, _, pattern = path.rpartition("/") if "*" in path.rsplit("/", 1)[-1] else (path.rstrip("/"), "", "*")
@@ -51,6 +68,10 @@ def listed(path: str) -> list[tuple[str, int]]:
     return sorted((root + i.path, i.size) for i in infos if i.is_file and fnmatch.fnmatch(i.base_name, pattern))
 
 
+def _field(path: str) -> str:
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
 class FieldReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.table = options["path"], options.get("table", "voxels")
@@ -77,22 +98,32 @@ class FieldReader(DataSourceReader):
             self.pushed.append(str(f))
             yield f  # the rows of a slice that is read may be of other blocks
 
-    def partitions(self) -> list[Slice]:
-        out = []
-        for path, length in listed(self.path):
-            field_id = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            if self.wanted is not None and field_id not in self.wanted:
-                continue
-            try:
-                head = parse_header(_read(path, [(0, min(HEADER.size, length))])[0], length)
-            except ValueError as e:
-                if self.table == "defects":
-                    out.append(Slice({"field_id": field_id}, defect=str(e)))
-                continue
-            if self.table == "defects" or self.table == "candidates" and not head["stride"]:
+    def partitions(self) -> list[Slice | Whole]:
+        files = [(path, length) for path, length in listed(self.path) if self.wanted is None or _field(path) in self.wanted]
+        out, dealt, size = [], [], 0
+        for path, length in files:
+            if len(files) <= PLANNED or length > WHOLE:
+                out += self._parts(path, length)
                 continue
-            out += self._slices(head | {"path": path, "field_id": field_id})
-        return out
+            dealt.append((path, length))
+            size += length + OPENING
+            if size >= TOGETHER:
+                out.append(Whole(dealt, self.layers))
+                dealt, size = [], 0
+        return out + ([Whole(dealt, self.layers)] if dealt else [])
+
+    def _parts(self, path: str, length: int) -> Iterator[Slice]:
+        """The slices of one file, by its header."""
+        field_id = _field(path)
+        try:
+            head = parse_header(_read(path, [(0, min(HEADER.size, length))])[0], length)
+        except ValueError as e:
+            if self.table == "defects":
+                yield Slice({"field_id": field_id}, defect=str(e))
+            return
+        if self.table == "defects" or self.table == "candidates" and not head["stride"]:
+            return
+        yield from self._slices(head | {"path": path, "field_id": field_id})
 
     def _slices(self, head: dict) -> Iterator[Slice]:
         d, low, high = head["block_dim"], max(self.layers[0], 0), self.layers[1]
@@ -117,22 +148,19 @@ class FieldReader(DataSourceReader):
         for at in range(first, end, step):
             yield Slice(head, at, min(step, end - at))
 
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        if partition.defect:
-            yield pa.RecordBatch.from_pydict({"field_id": [partition.head["field_id"]], "kind": [partition.defect]})
+    def read(self, partition: Slice | Whole) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Slice):
+            return gathered(self._rows(partition))
+        self.layers = partition.layers
+        return gathered(b for path, length in partition.files for part in self._parts(path, length) for b in self._rows(part))
+
+    def _rows(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        if part.defect:
+            yield pa.RecordBatch.from_pydict({"field_id": [part.head["field_id"]], "kind": [part.defect]})
             return
-        spec = SimpleNamespace(**partition.head, first=partition.first, count=partition.count)
-        rows = _voxel_rows if self.table == "voxels" else _candidate_rows
+        spec = SimpleNamespace(**part.head, first=part.first, count=part.count)
         for index, arrays in _slice(spec, ARRAYS[self.table]):
-            where = {"field_id": np.full(len(index), spec.field_id, object)} | {c: index[:, q].astype("int32") for q, c in enumerate("ijk")}
-            out = rows(spec, where, arrays)
-            if self.table == "voxels":
-                # values that a layout does not store are null
-                missing = [c for c in (*HESSIAN, "wx", "wy", "wz") if out[c].isna().all()]
-                out = out.astype({c: object for c in missing}).assign(**{c: None for c in missing})
-            names = [f.split()[0] for f in SCHEMAS[self.table].split(", ")]
-            kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
-            yield pa.RecordBatch.from_pandas(out[names], schema=pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in SCHEMAS[self.table].split(", ")]), preserve_index=False)
+            yield (_voxel_rows if self.table == "voxels" else _candidate_rows)(spec, index, arrays)
 
 
 class FieldFiles(DataSource):

@@ -1,5 +1,6 @@
 """What the plans of stored, pushed and SQL-defined work look like."""
 
+import os
 import re
 import tempfile
 
@@ -240,3 +241,29 @@ def test_many_triangles_are_shuffled_with_the_same_result(spark, monkeypatch):
     few = near()
     monkeypatch.setattr(nearest, "FEW", 0)
     assert near() == few and len(few) == tables.mesh_points(spark, DATA).count()
+
+
+def test_many_files_share_partitions(spark, scratch, monkeypatch):
+    folder = files.written(spark, DATA)
+
+    def rows(reader):
+        return sorted(tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.select(["field_id", "i", "j", "k", "phi"]).to_pylist())
+
+    def reader(*filters):
+        r = field_source.FieldReader({"path": f"{folder}/*.sdf"})
+        list(r.pushFilters(list(filters)))
+        return r
+
+    low = field_source.LessThan(("bk",), 1)
+    every, below, many = rows(reader()), rows(reader(low)), len(reader().partitions())
+    monkeypatch.setattr(field_source, "PLANNED", 0)
+    assert many > 1 == len(reader().partitions())
+    assert rows(reader()) == every and rows(reader(low)) == below and 0 < len(below) < len(every)
+    # the import lists a folder once; what lies in folders below is not meant
+    os.makedirs(f"{scratch}/x=1")
+    for name in [f"{n}.sdf" for n in range(40)] + ["x=1/40.sdf", "41.txt"]:
+        with open(f"{scratch}/{name}", "wb") as f:
+            f.write(b"SDFO")
+    listed = field_files._files(spark, f"{scratch}/*.sdf")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in listed.collect()) == sorted(f"{n}.sdf" for n in range(40))
+    assert listed.rdd.getNumPartitions() <= 8 and "41.txt" not in str(listed.inputFiles())
