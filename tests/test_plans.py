@@ -267,3 +267,14 @@ def test_many_files_share_partitions(spark, scratch, monkeypatch):
     listed = field_files._files(spark, f"{scratch}/*.sdf")
     assert sorted(r.path.rsplit("/", 1)[1] for r in listed.collect()) == sorted(f"{n}.sdf" for n in range(40))
     assert listed.rdd.getNumPartitions() <= 8 and "41.txt" not in str(listed.inputFiles())
+
+
+def test_copies_of_a_box_and_a_triangle_are_met_once_by_rays(spark):
+    t = tables.tris(spark, DATA)
+    copies = t.withColumn("tri_id", F.explode(F.array(*[F.col("tri_id") + 10_000 * n for n in range(3)])))
+    p = tables.mesh_points(spark, DATA).limit(200)
+    for search, name, cols in ((nearest.ray_parity, "hits", t.columns), (nearest.ray_boxes, "boxes", ["mesh_id", *[f"{q}{a}" for q in ("bmin", "bmax") for a in "xyz"]])):
+        one = {(r.mesh_id, r.qid): r[name] for r in search(p, t.select(cols)).collect()}
+        three = search(p, copies.select(cols))
+        assert {(r.mesh_id, r.qid): r[name] for r in three.collect()} == {k: 3 * n for k, n in one.items()} and max(one.values()) > 0
+        assert "count(1)" in three._jdf.queryExecution().optimizedPlan().toString()
