@@ -452,3 +452,14 @@ def test_pairs_within_the_nearest_and_more(spark):
         assert set(np.flatnonzero(d <= d.min() + 0.2)) <= set(got[i]) and len(set(got[i])) == len(got[i])
     d = {r.qid: r.d2 for r in nearest.nearest_distance(pts_frame(spark, p), t, levels=2).collect()}
     assert all(d[i] == pytest.approx(closest(x, a, b, c)[1].min(), abs=1e-12) for i, x in enumerate(p))
+
+
+def test_pairs_within_are_cut_before_copies_join(spark):
+    v, f = sphere_mesh(6, 9)
+    f = np.vstack([f, f[:4]])
+    p = np.random.default_rng(4).uniform(-1.5, 1.5, (20, 3))
+    got = nearest.triangles_within(pts_frame(spark, p), mesh.triangles(*mesh_frames(spark, v, f)), F.lit(0.2), levels=1).select("qid", "tri_id").collect()
+    a, b, c = (v[f[:, q]] for q in range(3))
+    far = [np.sqrt(closest(x, a, b, c)[1]) for x in p]
+    # none is handed on that the tolerance would drop
+    assert {(r.qid, r.tri_id) for r in got} == {(i, t) for i, d in enumerate(far) for t in np.flatnonzero(d <= d.min() + 0.2)}
