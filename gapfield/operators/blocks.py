@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import IJK
+from ..functions.grid import IJK, block_key
 from ..session import task_slots
 
 DIM = 8
@@ -28,7 +28,7 @@ _AT_ONCE = 128
 _BLOCK = ["_b0", "_b1", "_b2"]
 
 
-def _dealt(voxels: DataFrame, seen: str, values: list[str]) -> DataFrame:
+def _dealt(voxels: DataFrame, seen: str, values: list[str], buckets: int | None = None) -> DataFrame:
     """Rows ``_b0 _b1 _b2, _at, _own`` and all columns, the ones beside key and values null on halo rows.
 
     ``seen`` tells who sees a voxel: ``faces``, the neighbours that share a face, or ``upper``, all those that have it as the
@@ -54,14 +54,19 @@ def _dealt(voxels: DataFrame, seen: str, values: list[str]) -> DataFrame:
     rest = [F.when(own, F.col(c)).alias(c) for c in voxels.columns if c not in ("field_id", *values)]
     d = d.select("field_id", *[c.alias(n) for n, c in out.items()], at.cast("int").alias("_at"), own.alias("_own"), *values, *rest)
     key = ["field_id", *_BLOCK]
-    return d.repartition(task_slots(voxels.sparkSession), *key).sortWithinPartitions(*key)
+    if buckets is None:
+        dealt = d.repartition(task_slots(voxels.sparkSession), *key)
+    else:
+        dealt = d.repartition(buckets, "field_id", block_key([F.col(b) for b in _BLOCK]))
+    return dealt.sortWithinPartitions(*key)
 
 
-def over_blocks(voxels: DataFrame, seen: str, values: list[str], make: Callable, schema: str) -> DataFrame:
+def over_blocks(voxels: DataFrame, seen: str, values: list[str], make: Callable, schema: str, buckets: int | None = None) -> DataFrame:
     """Rows that ``make`` gives for the voxels of all blocks.
 
     ``make`` gets the rows of the voxels themselves as an Arrow batch, their places, and one array per
     name in ``values``, NaN where there is no voxel; it returns a batch of ``schema``. Null values count as missing.
+    With ``buckets`` the blocks are dealt to so many partitions, as a table bucketed by field and block deals them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +122,7 @@ def over_blocks(voxels: DataFrame, seen: str, values: list[str], make: Callable,
                 change[1:] |= np.asarray(pc.not_equal(x[1:], x[:-1]))
             yield from blocks_of(whole, np.flatnonzero(change | (np.arange(whole.num_rows) == 0)))
 
-    return _dealt(voxels, seen, values).mapInArrow(run, schema)
+    return _dealt(voxels, seen, values, buckets).mapInArrow(run, schema)
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -74,15 +74,17 @@ def append_rows(q: DataFrame, path: str, fmt: str = "parquet") -> None:
 # ---- bucketed tables -------------------------------------------------------------------------
 
 
-def write_bucketed(rows: DataFrame, table: str, path: str, buckets: int) -> None:
+def write_bucketed(rows: DataFrame, table: str, path: str, buckets: int, dealt: bool = False) -> None:
     """Voxels or cells as a table bucketed by field and block, one file per bucket.
 
     A query of such a table shuffles its points to the buckets, never the stored rows
     (``spark.sql.requireAllClusterKeysForCoPartition`` must be false, as in :mod:`session`). Take as
     many buckets as a query has shuffle partitions or more. A field spreads over all buckets by its blocks.
+    ``dealt`` rows, such as cells made for as many buckets, lie in one partition per bucket already and are not shuffled again.
     """
     d = rows.withColumn(STORED, stored_block([F.col(n).cast("bigint") for n in IJK]))
-    d = d.repartition(buckets, "field_id", STORED)
+    if not dealt:
+        d = d.repartition(buckets, "field_id", STORED)
     d.write.mode("overwrite").option("path", path).bucketBy(buckets, "field_id", STORED).sortBy("field_id", STORED).format("parquet").saveAsTable(table)
 
 

@@ -13,7 +13,7 @@ from gapfield.functions import sql as sql_functions
 from gapfield.operators import blocks, candidates, hessian, nearest
 from gapfield.operators import query as Q
 from gapfield.plans import evaluate
-from gapfield.sources import field_files, field_source
+from gapfield.sources import field_files, field_source, store
 from gapfield.streaming.audit import ObservedGroups
 from gapfield.streaming.sink import append_stream, read_appended
 
@@ -41,6 +41,21 @@ def test_stored_voxels_stay_in_their_buckets(spark):
     assert "_block" in above[-1] and not any("Exchange" in x for x in above)
 
 
+def test_cells_made_for_buckets_are_written_without_a_second_shuffle(spark, scratch):
+    v, n, name = tables.sphere_voxels(spark, DATA, hess=False), 5, "gf_dealt_cells"
+    cells = Q.cell_table(v, buckets=n)
+    store.write_bucketed(cells, name, scratch + "/cells", n, dealt=True)
+    try:
+        got = spark.table(name)
+        own = F.expr(f"pmod(hash(field_id, {Q.STORED}), {n})")
+        named = F.regexp_extract(F.input_file_name(), "_([0-9]{5})[.]", 1).cast("int")
+        seen = got.select(own.alias("own"), named.alias("named"), F.input_file_name().alias("file")).distinct().collect()
+        assert seen and all(r.own == r.named for r in seen) and len(seen) == len({r.named for r in seen})
+        assert got.drop(Q.STORED).exceptAll(Q.cell_table(v)).count() == 0 and got.count() == Q.cell_table(v).count()
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_second_derivatives_take_one_shuffle_of_voxels(spark):
     v, f = tables.sphere_voxels(spark, DATA, hess=False), tables.sphere_fields(spark, DATA)
     own = spark.createDataFrame(v.collect(), v.schema)
