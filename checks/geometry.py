@@ -8,6 +8,7 @@ from gapfield.functions import grid
 from gapfield.functions.triangle import RAY_DIR, branch_id, closest_point, edge_dots
 from gapfield.functions.vec import AXES, V3, unit
 from gapfield.operators import bins, candidates, mesh, nearest
+from gapfield.session import spread
 from gapfield.sources import model_text, obj
 
 from . import sql as S
@@ -103,7 +104,7 @@ def obj_roundtrip(spark, sf):
 @query("entity_attrs", f"""SELECT p_partkey AS body_id, p_name AS name, {S.r6("p_retailprice", "mass")}, CAST(p_size AS DOUBLE) AS ixx, (p_size % 10 = 0) AS ground FROM part""")
 def entity_attrs(spark, sf):
     """Parts written as model text, lexed, typed and read back."""
-    p = T.load(spark, sf, "part")
+    p = spread(T.load(spark, sf, "part"), "p_partkey")
     text = F.array(
         F.concat(F.lit("PART / "), F.col("p_partkey"), F.when(F.col("p_size") % 10 == 0, ", GROUND").otherwise("")),
         F.lit("! comment"), F.concat(F.lit(", NAME = '"), F.col("p_name"), F.lit("'")),

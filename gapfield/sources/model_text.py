@@ -53,6 +53,8 @@ def parse_entities(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
             "_start": is_start, "_hard": hard, "_patch": patches, "_stop": stop, "_end": up == "END", "_cmt": comment,
         }
     )
+    # the running values read the rows several times, each with columns of its own: the text is parsed once before
+    d = cut_lineage(d)
     at = F.struct(F.col("block"), F.col("pos"))
     d = running(
         d, ["file"], ORDER, F.col("block"),

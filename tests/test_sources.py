@@ -1,5 +1,7 @@
 import json
+import os
 import struct
+import uuid
 
 import numpy as np
 import pytest
@@ -405,6 +407,21 @@ def test_model_text(spark, scratch):
     assert m["forces"].first().a == 12.5 and m["joints"].count() == 1
 
 
+def test_model_text_is_read_once(spark, scratch):
+    def seen(batches):
+        for b in batches:
+            with open(f"{scratch}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(b.num_rows))
+            yield b
+
+    text = ["PART / 7, GROUND", ", MASS = 2", "", "PART / 8", ", NAME = 'b'", "stray"]
+    d = spark.createDataFrame([("m", 0, n, x) for n, x in enumerate(text)], "file string, block bigint, pos bigint, line string").coalesce(1)
+    entities, lines = model_text.parse_entities(d.mapInArrow(seen, d.schema))
+    assert [(r.ent_id, r.attrs) for r in entities.orderBy("ent_no").collect()] == [(7, {"MASS": "2"}), (8, {"NAME": "'b'"})]
+    assert lines.count() == 4
+    assert sum(int(open(f"{scratch}/{p}").read()) for p in os.listdir(scratch)) == len(text)
+
+
 def test_model_cm_marker(spark, scratch):
     open(scratch + "/b.rmd", "w").write(MODEL.replace(", CM = 21, IP = 9", ", CM = 21"))
     from gapfield.plans.model_import import import_models
