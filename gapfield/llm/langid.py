@@ -39,6 +39,8 @@ ORDER = 4
 PER_LANGUAGE = 1500
 EVIDENCE = 40
 QUANTILE, MARGIN, SHORT = 0.75, 0.45, 8.0
+# Texts are classified in blocks of so many bytes; one holds some twenty arrays of eight bytes a character.
+CLASSIFY_BYTES = 1 << 19
 _BEGIN, _END = 0x110000, 0x110001
 
 
@@ -209,7 +211,7 @@ def entropies(model: KneserNey, data: np.ndarray, offs: np.ndarray) -> tuple[np.
 def classify(model: KneserNey, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and rejection of every text of a column."""
     langs, scores, rejected = [], [], []
-    for lo, hi, data, offs in text_blocks(column):
+    for lo, hi, data, offs in text_blocks(column, CLASSIFY_BYTES):
         if not model.languages:
             langs += [UNKNOWN] * (hi - lo)
             scores.append(np.zeros(hi - lo))

@@ -61,6 +61,17 @@ def test_language(spark, small):
     assert langid.classify(model, pa.array(["Καλημέρα κόσμε, τι κάνετε σήμερα εδώ πέρα"]))[2].all()
 
 
+def test_languages_are_told_in_small_blocks(monkeypatch):
+    texts = [f"{a} {b} the words of this text {n}" * 900 for n, (a, b) in enumerate([("one", "two"), ("red", "blue")] * 40)]
+    model = langid.fit({"en": [t.encode() for t in texts[:4]], "xx": [b"zq wq zq jq" * 9]})
+    whole, sizes = langid.entropies, []
+    expected = [float(whole(model, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].min()) for t in texts]
+    monkeypatch.setattr(langid, "entropies", lambda m, data, offs: sizes.append((len(data), whole(m, data, offs))) or sizes[-1][1])
+    assert len(langid.classify(model, pa.array(texts))[0]) == len(texts)
+    assert max(n for n, _ in sizes) <= 1 << 19
+    assert np.allclose(np.concatenate([e.min(1) for _, (e, _) in sizes]), expected)
+
+
 def test_language_rejects_an_unlearned_one_in_the_same_script(small):
     """A language held back is rejected, also when some texts of it carry the label of a learned one."""
     own = {}
