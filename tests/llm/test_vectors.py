@@ -160,3 +160,21 @@ def test_exact_sums_of_large_entries():
     fit = whitening.Fit(2, [10, 0], np.array([5, 0]), [18, 6, 2], 2)
     w, deviation = fit.whitened(np.array([[8, 1], [2, -1]]))
     assert deviation == [40, 40] and np.isnan(w[:, 1]).all() and np.allclose(np.abs(w[:, 0]), 1)
+
+
+def test_the_audit_scan_holds_a_few_rows_at_a_time():
+    """Its memory must not grow with the sample times the shard (here 2048 x 6000 numbers, 49 MB)."""
+    import tracemalloc
+
+    from gapfield.llm import embeddings, hnsw
+
+    rng = np.random.default_rng(5)
+    vectors = embeddings._unit(rng.normal(size=(6000, 8)))
+    sample = embeddings._unit(rng.normal(size=(2048, 8)))
+    points, links = np.arange(6000), np.full((6000, 4), -1, np.int64)
+    graph = hnsw.Graph(vectors, [(points, links)])
+    tracemalloc.start()
+    embeddings.audited(graph, sample, 2.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
