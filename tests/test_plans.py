@@ -293,3 +293,52 @@ def test_copies_of_a_box_and_a_triangle_are_met_once_by_rays(spark):
         three = search(p, copies.select(cols))
         assert {(r.mesh_id, r.qid): r[name] for r in three.collect()} == {k: 3 * n for k, n in one.items()} and max(one.values()) > 0
         assert "count(1)" in three._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _scattered(spark):
+    """Two fields of 20 x 9 x 8 voxels with holes, unlike points on and beside them, one of an unknown and one of no field."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(f, *map(int, at), *map(float, r.normal(size=4))) for f in (1, 2) for at in np.ndindex(20, 9, 8) if r.random() < 0.97]
+    v = spark.createDataFrame(rows, "field_id bigint, i int, j int, k int, phi double, nx double, ny double, nz double")
+    spec = {f"{q}{a}": F.lit(x) for q, x in (("bmin", 0.0), ("vox", 0.5)) for a in "xyz"} | {f"dim{a}": F.lit(n) for a, n in zip("xyz", (20, 9, 8))}
+    fields = spark.createDataFrame([(1,), (2,)], "field_id bigint").withColumns(spec)
+    at = r.uniform(-0.6, [10.6, 5.1, 4.6], size=(600, 3))
+    points = [((1, 2, 2, 7, None)[q % 5], q % 50, *map(float, p)) for q, p in enumerate(at)]
+    return v, fields, spark.createDataFrame(points, "field_id bigint, qid bigint, x double, y double, z double")
+
+
+def test_corners_are_read_from_blocks_and_never_become_rows(spark):
+    v, fields, points = _scattered(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        for mode in ("trilinear", "tricubic"):
+            d = Q.query(points, fields, v, mode)
+            text_ = plan(d)
+            assert "Aggregate" not in text_ and len(re.findall(r"Exchange hashpartitioning\(field_id[^)]*_b0", text_)) == 1
+            names = ["gap", "nx", "ny", "nz", "gx", "gy", "gz"]
+            key = lambda x: (x.field_id or 0, x.qid, x.x)
+            got, want = (sorted(a.collect(), key=key) for a in (d, Q.query(points, fields, mode=mode, cells=Q.cell_table(v, mode == "tricubic"))))
+            assert len(got) == len(want) == 600 and 50 < sum(x.valid for x in got) < 360
+            for x, y in zip(got, want):
+                assert x.valid == y.valid
+                assert [x[n] for n in names] == (pytest.approx([y[n] for n in names], abs=1e-9) if x.valid else [None] * 7)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_modes_in_one_pass_equal_single_modes(spark):
+    v, fields, points = _scattered(spark)
+    for c in ("hxx", "hxy", "hxz", "hyy", "hyz", "hzz"):
+        v = v.withColumn(c, F.sin(F.col("i") * 3.0 + F.col("j") * 2.0 + F.col("k") + len(c)))
+    modes = ("first", "second", "trilinear", "tricubic")
+    one = Q.query_modes(points, fields, v, modes)
+    assert len(re.findall(r"Exchange hashpartitioning\(field_id[^)]*_b0", plan(one))) == 1
+    names = ["gap", "nx", "ny", "nz", "wx", "wy", "wz"]
+    key = lambda x: (x.mode, x.field_id or 0, x.qid, x.valid, x.gap or 0)
+    got, want = (sorted(d.collect(), key=key) for d in (one, Q.stack_modes(**{m: Q.query(points, fields, v, m) for m in modes})))
+    assert len(got) == len(want) == 2400
+    for x, y in zip(got, want):
+        assert (x.mode, x.field_id, x.qid, x.valid) == (y.mode, y.field_id, y.qid, y.valid)
+        assert [x[n] for n in names] == (pytest.approx([y[n] for n in names], abs=1e-9) if x.valid else [None] * 7)
