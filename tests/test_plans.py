@@ -342,3 +342,8 @@ def test_modes_in_one_pass_equal_single_modes(spark):
     for x, y in zip(got, want):
         assert (x.mode, x.field_id, x.qid, x.valid) == (y.mode, y.field_id, y.qid, y.valid)
         assert [x[n] for n in names] == (pytest.approx([y[n] for n in names], abs=1e-9) if x.valid else [None] * 7)
+
+
+def test_points_and_boxes_are_spread_before_they_grow_into_pairs(spark):
+    for make, sides in ((geometry.points_in_radius, 1), (geometry.point_in_box, 1), (geometry.box_overlap_pairs, 2)):
+        assert plan(make(spark, DATA)).count("REPARTITION_BY_NUM") >= sides, make
