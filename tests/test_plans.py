@@ -347,3 +347,17 @@ def test_modes_in_one_pass_equal_single_modes(spark):
 def test_points_and_boxes_are_spread_before_they_grow_into_pairs(spark):
     for make, sides in ((geometry.points_in_radius, 1), (geometry.point_in_box, 1), (geometry.box_overlap_pairs, 2)):
         assert plan(make(spark, DATA)).count("REPARTITION_BY_NUM") >= sides, make
+
+
+def test_nearest_search_sorts_and_shuffles_no_pairs(spark, monkeypatch):
+    """Full tiles dealt in shares and triangles too many to broadcast give the same answers."""
+    points, tris = tables.mesh_points(spark, DATA), tables.tris(spark, DATA)
+    pyramid = nearest.staged_cells(tris, 2)
+    want = {x.qid: x.tri_id for x in nearest.nearest_triangle(points, tris, pyramid=pyramid).collect()}
+    monkeypatch.setattr(nearest, "FEW", 0)
+    monkeypatch.setattr(nearest, "SHARE", 2)
+    d = nearest.nearest_triangle(points, tris, pyramid=pyramid)
+    text_ = plan(d)
+    # the key of a point alone never deals rows again, and no window sorts what tiles meet
+    assert "Window" not in text_ and "_share" in text_ and not re.search(r"Exchange hashpartitioning\(mesh_id[^,]*, qid", text_)
+    assert len(want) == points.count() and {x.qid: x.tri_id for x in d.collect()} == want
