@@ -361,3 +361,26 @@ def test_nearest_search_sorts_and_shuffles_no_pairs(spark, monkeypatch):
     # the key of a point alone never deals rows again, and no window sorts what tiles meet
     assert "Window" not in text_ and "_share" in text_ and not re.search(r"Exchange hashpartitioning\(mesh_id[^,]*, qid", text_)
     assert len(want) == points.count() and {x.qid: x.tri_id for x in d.collect()} == want
+
+
+def test_contact_points_are_answered_in_blocks_and_never_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "SHARE", 1)
+    v, fields, asked = _scattered(spark)
+    fields = fields.withColumns({f"bmax{a}": F.lit(x) for a, x in zip("xyz", (10.0, 4.5, 4.0))})
+    cells = Q.cell_table(v, cubic=False)
+    rest = {f"{q}{a}": F.lit(0.0) for q in "rvo" for a in "xyz"} | {f"r{r}{c}": F.lit(float(r == c)) for r in range(3) for c in range(3)}
+    poses = spark.range(2).select(F.lit("r").alias("run_id"), F.lit(0.0).alias("t"), F.col("id").alias("body_id")).withColumns(rest)
+    ones = {n: F.lit(1.0) for n in ("k", "mu", "k_order", "damping", "regularizer")}
+    contacts = spark.createDataFrame([(1, 1), (2, 2), (3, 77)], "cp_id bigint, field_id bigint").withColumns({"body_a": F.lit(0).cast("bigint"), "body_b": F.lit(1).cast("bigint"), "mesh_id": F.lit("m"), **ones})
+    q = asked.select(F.lit("m").alias("mesh_id"), F.monotonically_increasing_id().alias("qid"), "x", "y", "z", F.lit(1.0).alias("w")).localCheckpoint()
+    d = evaluate.contact_points(poses, contacts, q, fields, cells, normalize=False)
+    assert not re.search(r"Exchange hashpartitioning\([^)]*_i#", plan(d))
+    got = {(x.cp_id, x.qid): x for x in d.collect()}
+    assert len(got) == d.count() == 1800 and all(got[3, n].gap == got[3, n].z and got[3, n].valid for n in {n for _, n in got})
+    want = Q.query(q.crossJoin(fields.select("field_id")), fields, mode="trilinear", cells=cells).collect()
+    assert 100 < sum(x.valid for x in want) < 1200
+    for x in want:
+        y = got[x.field_id, x.qid]
+        assert x.valid == y.valid
+        names = ["gap", "gx", "gy", "gz"]
+        assert [y[n] for n in names] == (pytest.approx([x[n] for n in names], abs=1e-9) if x.valid else [None] * 4)
